@@ -13,6 +13,7 @@ from strandweave.llm.frequency import marked
 from strandweave.llm.heavy_hitters import frequent
 from strandweave.llm.look import look_alike_pairs, one_form
 from strandweave.llm.packing import pack, windows
+from strandweave.llm.similar import clusters, described, membership
 from strandweave.sources.tables import table
 
 WINDOW = 4096
@@ -41,6 +42,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(links, "r1", "r2").select("group_id", F.col("id").alias("read_id"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clusters(table(spark, sf_dir, "brothers"), "target_id", "read_id", "seq", 0.1)
+    return membership(found).select(F.col("grp").alias("target_id"), F.col("first").alias("first_read"), F.col("member").alias("read_id"))
+
+
+def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clusters(table(spark, sf_dir, "brothers"), "target_id", "read_id", "seq", 0.1)
+    return described(found).withColumnsRenamed({"grp": "target_id", "first": "first_read"})
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -65,7 +76,7 @@ def p9_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_form(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "shown")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_kmers, p4_found, p7_ids, p8_found, p8_pieces, p8_windows, p9_found, p9_text)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_kmers, p4_found, p5_found, p5_clusters, p7_ids, p8_found, p8_pieces, p8_windows, p9_found, p9_text)}
 
 _MARKS = """
     WITH k AS (SELECT upper(kmer) AS kmer, read_id FROM kmer_occurrence WHERE kmer IS NOT NULL),
@@ -89,4 +100,22 @@ ORACLES = {
             UNION SELECT read_id, target_id FROM brothers WHERE target_id <> read_id),
         r(id, low) AS (SELECT a, a FROM e UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.id WHERE r.low < e.b)
         SELECT min(low) AS group_id, id AS read_id FROM r GROUP BY id""",
+    "p5_found": """
+        WITH RECURSIVE s AS (
+            SELECT DISTINCT target_id, read_id, upper(seq) AS seq FROM brothers
+            WHERE seq IS NOT NULL AND target_id IS NOT NULL AND read_id IS NOT NULL),
+        p AS (
+            SELECT x.target_id, x.read_id AS a, y.read_id AS b,
+                list_transform(range(1, 151), lambda i: CASE
+                    WHEN instr('ACGT', substr(x.seq, i, 1)) = 0 OR substr(x.seq, i, 1) = '' OR instr('ACGT', substr(y.seq, i, 1)) = 0 OR substr(y.seq, i, 1) = '' THEN 0
+                    WHEN substr(x.seq, i, 1) = substr(y.seq, i, 1) THEN 1 ELSE 1000 END) AS c
+            FROM s x JOIN s y ON x.target_id = y.target_id AND x.read_id < y.read_id),
+        alike AS (
+            SELECT target_id, a, b FROM (SELECT *, list_sum(c) // 1000 AS differ, len(list_filter(c, lambda v: v > 0)) AS shared FROM p)
+            WHERE shared > 0 AND differ * 10 <= shared),
+        e AS (SELECT target_id, a, b FROM alike UNION SELECT target_id, b, a FROM alike),
+        r(target_id, id, low) AS (
+            SELECT target_id, a, a FROM e
+            UNION SELECT r.target_id, e.b, r.low FROM r JOIN e ON e.target_id = r.target_id AND e.a = r.id WHERE r.low < e.b)
+        SELECT target_id, min(low) AS first_read, id AS read_id FROM r GROUP BY target_id, id""",
 }
