@@ -14,9 +14,11 @@ from strandweave.llm.heavy_hitters import frequent
 from strandweave.llm.look import look_alike_pairs, one_form
 from strandweave.llm.packing import pack, windows
 from strandweave.llm.similar import clusters, described, membership
+from strandweave.llm.spans import coverage, shared_spans
 from strandweave.sources.tables import table
 
 WINDOW = 4096
+SPAN = 48
 
 
 def p1_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +54,16 @@ def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return described(found).withColumnsRenamed({"grp": "target_id", "first": "first_read"})
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = shared_spans(table(spark, sf_dir, "brothers"), "target_id", "read_id", "seq", SPAN)
+    return spans.select(F.col("grp").alias("target_id"), F.col("member").alias("read_id"), "span_start", "span_len")
+
+
+def p6_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shares = coverage(table(spark, sf_dir, "brothers"), "target_id", "read_id", "seq", SPAN)
+    return shares.withColumnsRenamed({"grp": "target_id", "member": "read_id"})
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -76,8 +88,18 @@ def p9_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_form(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "shown")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_kmers, p4_found, p5_found, p5_clusters, p7_ids, p8_found, p8_pieces, p8_windows, p9_found, p9_text)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_kmers, p4_found, p5_found, p5_clusters, p6_found, p6_shared, p7_ids, p8_found, p8_pieces, p8_windows, p9_found, p9_text)}
 
+_SPANS = """
+    WITH b AS (SELECT DISTINCT target_id, read_id, upper(seq) AS seq FROM brothers WHERE seq IS NOT NULL AND read_id IS NOT NULL),
+    w AS (
+        SELECT target_id, read_id, seq, s, substr(seq, s + 1, 48) AS w FROM b, range(0, 103) AS t(s)
+        WHERE regexp_full_match(substr(seq, s + 1, 48), '[ACGT]{48}')),
+    two AS (SELECT w FROM w GROUP BY w HAVING min(read_id) <> max(read_id)),
+    hit AS (SELECT target_id, read_id, seq, s, s - lag(s) OVER (PARTITION BY target_id, read_id, seq ORDER BY s) AS gap FROM w SEMI JOIN two USING (w)),
+    run AS (SELECT *, sum(CASE WHEN gap <= 48 THEN 0 ELSE 1 END) OVER (PARTITION BY target_id, read_id, seq ORDER BY s) AS run FROM hit),
+    span AS (SELECT target_id, read_id, min(s) AS span_start, max(s) + 48 - min(s) AS span_len FROM run GROUP BY target_id, read_id, seq, run)
+"""
 _MARKS = """
     WITH k AS (SELECT upper(kmer) AS kmer, read_id FROM kmer_occurrence WHERE kmer IS NOT NULL),
     n AS (SELECT count(DISTINCT read_id) AS n FROM k),
@@ -118,4 +140,9 @@ ORACLES = {
             SELECT target_id, a, a FROM e
             UNION SELECT r.target_id, e.b, r.low FROM r JOIN e ON e.target_id = r.target_id AND e.a = r.id WHERE r.low < e.b)
         SELECT target_id, min(low) AS first_read, id AS read_id FROM r GROUP BY target_id, id""",
+    "p6_found": _SPANS + "SELECT * FROM span",
+    "p6_shared": _SPANS + """
+        SELECT t.target_id, t.read_id, t.bases, coalesce(c.shared, 0) AS shared
+        FROM (SELECT target_id, read_id, sum(length(regexp_replace(seq, '[^ACGT]', '', 'g')))::BIGINT AS bases FROM b GROUP BY 1, 2) t
+        LEFT JOIN (SELECT target_id, read_id, sum(span_len)::BIGINT AS shared FROM span GROUP BY 1, 2) c USING (target_id, read_id)""",
 }
