@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandweave.plans import skew_queries
+from strandweave.plans import kmer_queries, overlap_queries, read_queries, skew_queries
 
-MODULES = (skew_queries,)
+MODULES = (read_queries, kmer_queries, overlap_queries, skew_queries)
 
 
 def queries() -> dict:
