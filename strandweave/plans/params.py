@@ -7,4 +7,4 @@ COV = 12  # coverage for prior votes
 MAX_VOTES, MIN_VOTES = 40, 1
 H_RATE = 0.001  # share of heterozygous columns where both alleles are called
 DEGREE, BIN = 5, 50  # caps of the adjacency and index formats
-SUBSET = 10  # the model-selection subset holds one in SUBSET of the shuffled reads
+SUBSET = 0.1  # share of the reads in the model-selection subset

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strandweave.functions import dna
 from strandweave.operators import reads as R
 from strandweave.plans import base
-from strandweave.plans.sql import READS
+from strandweave.plans.sql import READS, UNIT
 from strandweave.sources.tables import table
 
 
@@ -42,8 +42,8 @@ def k_rule(spark, d):
 
 def param_grid(spark, d):
     s = R.read_stats(base.reads(spark, d))
-    hs = F.explode(F.sequence(F.floor(F.col("max_len") * 0.5), F.floor(F.col("max_len") * 0.66), F.lit(2)))
-    return s.select(hs.cast("int").alias("h")).select("h", F.explode(F.array(F.lit(5), F.lit(10), F.lit(15))).alias("e_percent"))
+    hs = F.explode(F.sequence(F.floor(F.col("max_len") * 0.5).cast("int"), F.floor(F.col("max_len") * 0.66).cast("int"), F.lit(2)))
+    return s.select(hs.alias("h")).select("h", F.explode(F.array(F.lit(5), F.lit(10), F.lit(15))).alias("e_percent"))
 
 
 def array_normalize(spark, d):
@@ -65,7 +65,6 @@ QUERIES = {f.__name__: f for f in (reads_both_strands, revcomp, read_stats, base
 
 _RC = "reverse(translate({}, 'ACGTN', 'TGCAN'))"
 _WS = """WITH w AS (SELECT pos, true_b, list(coalesce(w, 0) ORDER BY called_b) AS ws FROM confusion GROUP BY 1, 2)"""
-_UNIT = "(('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0)"
 ORACLES = {
     "reads_both_strands": f"""
         WITH {READS}, o AS (SELECT * FROM reads WHERE is_orig AND src_row IS NOT NULL)
@@ -91,7 +90,7 @@ ORACLES = {
     "array_normalize": _WS + """
         SELECT pos, true_b, i::INTEGER AS called_b, round(list_sum(ws), 6) AS total, round(ws[i + 1] / list_sum(ws), 6) AS p FROM w, range(0, 4) AS t(i)""",
     "weighted_pick": _WS + f""",
-        c AS (SELECT pos, true_b, i, list_sum(ws[1 : i + 1]) / list_sum(ws) AS run, {_UNIT.format("pos || '|' || true_b")} AS t FROM w, range(0, 4) AS r(i))
+        c AS (SELECT pos, true_b, i, list_sum(ws[1 : i + 1]) / list_sum(ws) AS run, {UNIT.format("pos || '|' || true_b")} AS t FROM w, range(0, 4) AS r(i))
         SELECT pos, true_b, coalesce(min(i) FILTER (t < run), -1)::INTEGER AS picked FROM c GROUP BY pos, true_b""",
-    "bernoulli_test": f"WITH {READS} SELECT read_id, {_UNIT.format("read_id || '|b'")} < 0.25 AS hit FROM reads",
+    "bernoulli_test": f"WITH {READS} SELECT read_id, {UNIT.format("read_id || '|b'")} < 0.25 AS hit FROM reads",
 }

@@ -30,3 +30,6 @@ e4 AS (SELECT r1, r2, arg_min({'offs': offs, 'nerr': nerr, 'overlap': overlap, '
 edges AS (
     SELECT r1, r2, b.offs AS offs, b.nerr AS nerr, b.overlap AS overlap, b.len1 AS len1, b.len2 AS len2 FROM e4
     UNION ALL SELECT read_id, read_id, 0, 0, len, len, len FROM reads WHERE len > 0)"""
+
+#: A number in [0, 1) that depends on a text alone.
+UNIT = "(('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0)"
