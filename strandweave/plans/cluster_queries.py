@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from strandweave.operators import clustering, overlaps
 from strandweave.plans import base
-from strandweave.plans.params import E, H
+from strandweave.plans.params import SMOOTHING, E, H
+from strandweave.plans.vote_queries import SMOOTHED
 from strandweave.sources.tables import table
 
 
@@ -23,7 +24,7 @@ def _members(spark, d):
 
 
 def _matrix(spark, d):
-    return clustering.Matrix(table(spark, d, "confusion"))
+    return clustering.Matrix(table(spark, d, "confusion"), smoothing=SMOOTHING)
 
 
 def read_distance(spark, d):
@@ -37,11 +38,11 @@ def nearest_centroid(spark, d):
 
 
 def cluster_centroid(spark, d):
-    return clustering.centroids(_members(spark, d), table(spark, d, "confusion"))
+    return clustering.centroids(_members(spark, d), table(spark, d, "confusion"), SMOOTHING)
 
 
 def kmeans_assign_step(spark, d):
-    return clustering.kmeans_step(_brothers(spark, d), clustering.centers_of(_clusters(spark, d)), _matrix(spark, d), table(spark, d, "confusion"))
+    return clustering.kmeans_step(_brothers(spark, d), clustering.centers_of(_clusters(spark, d)), _matrix(spark, d), table(spark, d, "confusion"), SMOOTHING)
 
 
 def log_multinomial(spark, d):
@@ -80,9 +81,7 @@ cl AS (SELECT target_id, arg_max({'centers': centers, 'groups': groups}, (loaded
 ce AS (SELECT target_id, (i - 1)::INTEGER AS cluster, upper(c.centers[i]) AS center FROM cl, unnest(range(1, len(c.centers) + 1)) AS t(i)),
 me AS (
     SELECT target_id, read_id, min(cluster) AS cluster, any_value(seq) AS seq
-    FROM (SELECT target_id, (i - 1)::INTEGER AS cluster, unnest(c.groups[i]) AS read_id FROM cl, unnest(range(1, len(c.groups) + 1)) AS t(i)) JOIN br USING (target_id, read_id) GROUP BY 1, 2),
-cw AS (SELECT pos, true_b, called_b, coalesce(w, 0) + 1 AS w FROM confusion),
-cp AS (SELECT pos, true_b, called_b, w / sum(w) OVER (PARTITION BY pos, called_b) AS p FROM cw)"""
+    FROM (SELECT target_id, (i - 1)::INTEGER AS cluster, unnest(c.groups[i]) AS read_id FROM cl, unnest(range(1, len(c.groups) + 1)) AS t(i)) JOIN br USING (target_id, read_id) GROUP BY 1, 2),""" + SMOOTHED.format(SMOOTHING)
 
 
 def _dist(source: str, first: str, second: str, by: str) -> str:

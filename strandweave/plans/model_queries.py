@@ -8,7 +8,7 @@ from strandweave.functions.dna import bernoulli
 from strandweave.operators import model, voting
 from strandweave.plans import base, vote_queries
 from strandweave.plans.params import COV, MAX_VOTES, MIN_VOTES, SUBSET
-from strandweave.plans.vote_queries import LL, VOTES, called_sql
+from strandweave.plans.vote_queries import LL, SMOOTHED, VOTES, called_sql
 from strandweave.sources.tables import table
 
 
@@ -89,8 +89,8 @@ bi AS (
 tv AS (SELECT mode, m, round(0.5 * sum(abs(x - p)) + 0.5 * (1 - sum(p)), 9) AS tv FROM bi GROUP BY 1, 2),
 fit AS (SELECT coalesce(arg_min(m, (tv, m)) FILTER (tv < 1), any_value(mode) + 1) AS cov, coalesce(min(tv) FILTER (tv < 1), 1.0) AS tv FROM tv)"""
 ORACLES = {
-    "confusion_normalize": f"WITH reads AS (SELECT 1 AS len){LL.split('l0 AS')[0].rstrip().rstrip(',')} SELECT pos, true_b, called_b, round(p, 9) AS p, round(ln(p), 9) AS ll FROM cp",
-    "likelihood_fill": f"WITH reads AS (SELECT 190 AS len){LL} SELECT pos, base AS called_b, " + ", ".join(f"round(ll{b}, 9) AS ll{b}" for b in range(4)) + " FROM ll",
+    "confusion_normalize": f"WITH {SMOOTHED.format(1)} SELECT pos, true_b, called_b, round(p, 9) AS p, round(ln(p), 9) AS ll FROM cp",
+    "likelihood_fill": f"WITH reads AS (SELECT 190 AS len), {SMOOTHED.format(1)}{LL} SELECT pos, base AS called_b, " + ", ".join(f"round(ll{b}, 9) AS ll{b}" for b in range(4)) + " FROM ll",
     "confusion_delta": f"""
         WITH {_MSTEP}, f AS (
             SELECT coalesce(c.w, 0) AS a, coalesce(ms.w, 0) AS b FROM confusion c FULL JOIN ms ON c.pos = ms.pos AND c.true_b = ms.true_b AND c.called_b = ms.called_b)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strandweave.operators import voting
 from strandweave.operators.overlaps import refilter
 from strandweave.plans import base
-from strandweave.plans.params import COV, H_RATE, MAX_VOTES, MIN_VOTES, E, H
+from strandweave.plans.params import COV, H_RATE, MAX_VOTES, MIN_VOTES, SMOOTHING, E, H
 from strandweave.plans.sql import EDGES
 from strandweave.sources.tables import table
 
@@ -23,7 +23,7 @@ def votes(spark, d):
 
 
 def likelihood_table(spark, d):
-    return voting.likelihoods(table(spark, d, "confusion"), _max_len(spark, d))
+    return voting.likelihoods(table(spark, d, "confusion"), _max_len(spark, d), smoothing=SMOOTHING)
 
 
 def columns(spark, d, h_rate=0.0):
@@ -93,9 +93,10 @@ v AS (
     SELECT r1, (st1 + i)::INTEGER AS col, (CASE WHEN orig2 THEN st2 + i ELSE len2 - st2 - i - 1 END)::INTEGER AS pos,
         (CASE WHEN code < 0 THEN NULL WHEN orig2 THEN code ELSE 3 - code END)::INTEGER AS base, NOT orig2 AS rc, r1 = r2 AS own
     FROM ex WHERE code >= 0 OR r1 = r2)"""
+SMOOTHED = """
+cw AS (SELECT pos, true_b, called_b, coalesce(w, 0) + {}::DOUBLE AS w FROM confusion),
+cp AS (SELECT pos, true_b, called_b, w / sum(w) OVER (PARTITION BY pos, called_b) AS p FROM cw)"""
 LL = """,
-cw AS (SELECT pos, true_b, called_b, coalesce(w, 0) + 1 AS w FROM confusion),
-cp AS (SELECT pos, true_b, called_b, w / sum(w) OVER (PARTITION BY pos, called_b) AS p FROM cw),
 l0 AS (SELECT pos, called_b AS base, """ + ", ".join(f"max(ln(p)) FILTER (true_b = {b}) AS ll{b}" for b in range(4)) + """ FROM cp GROUP BY 1, 2),
 ml AS (SELECT max(len) AS max_len FROM reads), lp AS (SELECT max(pos) AS last FROM l0),
 ll AS (
@@ -112,7 +113,7 @@ def columns_sql(h_rate: float = 0.0) -> str:
         prior = math.log(0.25) + math.log(1 - h_rate) if a == b else -math.log(6) + math.log(h_rate)
         for x, weight in (("l", f"(CASE WHEN own THEN {w} ELSE 1 END)"), ("q", "1")):
             aggs.append(f"round(coalesce(sum(({one}) * {weight}), 0) + {prior!r}::DOUBLE, 9) AS {x}{a}{b}")
-    return VOTES + LL + f""",
+    return VOTES + "," + SMOOTHED.format(SMOOTHING) + LL + f""",
 c AS (SELECT r1, col, count(base) AS n, max(base) FILTER (own) AS orig, {", ".join(aggs)} FROM v LEFT JOIN ll USING (pos, base) GROUP BY r1, col)"""
 
 
