@@ -1,0 +1,76 @@
+"""Simulated strands and reads; every draw is a digest of its keys, so runs repeat."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Letters in the order of the misread table, and its rows: chances that a true letter is read
+#: as each of them.
+LETTERS = "NATGC"
+MISREAD = {
+    "N": (1.00, 0.00, 0.00, 0.00, 0.00),
+    "A": (0.02, 0.90, 0.04, 0.02, 0.02),
+    "T": (0.02, 0.04, 0.90, 0.02, 0.02),
+    "G": (0.01, 0.03, 0.02, 0.90, 0.04),
+    "C": (0.01, 0.03, 0.02, 0.04, 0.90),
+}
+
+
+def check_misread(table: dict[str, tuple[float, ...]] = MISREAD) -> None:
+    """Every row must add up to 1."""
+    for letter, row in table.items():
+        if abs(sum(row) - 1) > 1e-9:
+            raise ValueError(f"chances of {letter} don't add up to 1")
+
+
+def check_strands(strands: DataFrame) -> DataFrame:
+    """Strands as they are; one with another letter than A, C, G, T is an error when it is read."""
+    bad = F.raise_error(F.concat(F.lit("strand with other letters: "), F.col("seq")))
+    return strands.withColumn("seq", F.when(F.col("seq").rlike("^[ACGT]*$"), F.col("seq")).otherwise(bad))
+
+
+def digits(length: Column, *key: Column) -> Column:
+    """Hexadecimal digits, four for each of ``length`` places, from md5 digests of the key."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(length - 1, F.lit(0)) / 8)), lambda b: F.md5(F.concat_ws("|", *[k.cast("string") for k in key], b.cast("string"))))
+    return F.array_join(blocks, "")
+
+
+def _number(hexes: Column, at: Column, count: int) -> Column:
+    return F.conv(F.substring(hexes, at + 1, F.lit(count)), 16, 10).cast("int")
+
+
+def strands(reads: DataFrame, number: int = 3, snp: float = 0.03) -> DataFrame:
+    """``(read_id, strand, seq)``: each read as strand 0, and copies of it with random letters at random places."""
+    rows = reads.select("read_id", "seq", F.explode(F.sequence(F.lit(0), F.lit(number - 1))).alias("strand"))
+    rows = rows.withColumn("d", digits(F.length("seq"), F.col("read_id"), F.col("strand")))
+    limit = int(snp * 4096)
+    letters = F.transform(
+        F.filter(F.split("seq", ""), lambda c: c != ""),
+        lambda c, i: F.when((F.col("strand") > 0) & (_number(F.col("d"), i * 4, 3) < limit), F.substring(F.lit("TAGC"), _number(F.col("d"), i * 4 + 3, 1) % 4 + 1, F.lit(1))).otherwise(c),
+    )
+    return rows.select("read_id", "strand", F.array_join(letters, "").alias("seq"))
+
+
+def reads(strand: DataFrame, length: int = 10, mean: float = 5.0, deviation: float = 1.0) -> DataFrame:
+    """``(read_id, strand, copy, start, seq)``: reads of ``length`` at random places, letters misread by the table.
+
+    The number of reads of a strand is normal, as the sum of twelve uniform draws.
+    """
+    check_misread()
+    d = digits(F.lit(12), F.col("read_id"), F.col("strand"), F.lit("n"))
+    total = F.aggregate(F.sequence(F.lit(0), F.lit(11)), F.lit(0), lambda s, i: s + _number(d, i * 4, 4))
+    n = F.greatest(F.round(mean + deviation * (total / 65536.0 - 6)).cast("int"), F.lit(0))
+    rows = strand.where(F.length("seq") > length).withColumn("copies", n).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    rows = rows.withColumn("d", digits(F.lit(length + 1), F.col("read_id"), F.col("strand"), F.col("copy")))
+    rows = rows.withColumn("start", _number(F.col("d"), F.lit(0), 4) % (F.length("seq") - length))
+
+    # a hundred letters for each true one, as often as they are read; a draw picks one of them
+    table = F.create_map(*[F.lit(x) for true, row in MISREAD.items() for x in (true, "".join(c * round(100 * p) for c, p in zip(LETTERS, row, strict=True)))])
+
+    def misread(letter: Column, i: Column) -> Column:
+        slot = F.floor(_number(F.col("d"), (i + 1) * 4, 4) * 100 / 65536).cast("int")
+        return F.substring(table[letter], slot + 1, F.lit(1))
+
+    cut = F.filter(F.split(F.substring(F.col("seq"), F.col("start") + 1, F.lit(length)), ""), lambda c: c != "")
+    return rows.select("read_id", "strand", "copy", "start", F.array_join(F.transform(cut, misread), "").alias("seq"))

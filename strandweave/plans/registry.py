@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandweave.plans import cluster_queries, kmer_queries, model_queries, overlap_queries, read_queries, skew_queries, vote_queries
+from strandweave.plans import cluster_queries, io_queries, kmer_queries, model_queries, overlap_queries, pipeline_queries, read_queries, skew_queries, vote_queries
 
-MODULES = (read_queries, kmer_queries, overlap_queries, skew_queries, vote_queries, model_queries, cluster_queries)
+MODULES = (read_queries, kmer_queries, overlap_queries, skew_queries, vote_queries, model_queries, cluster_queries, io_queries, pipeline_queries)
 
 
 def queries() -> dict:
