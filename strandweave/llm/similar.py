@@ -127,6 +127,8 @@ def sparse_links(nodes: DataFrame, most: Fraction) -> DataFrame:
         "grp", "node", "seq", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("grp"), F.lit(cells))).otherwise(F.xxhash64("grp", F.least("block", "other"), F.greatest("block", "other"))).alias("cell"),
     )
+    # a given number of partitions is not merged by size: comparing takes far more time than its bytes suggest
+    pairs = pairs.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell")
     return pairs.groupBy("cell").applyInArrow(_compare(most), "a long, b long, s double").distinct()
 
 
