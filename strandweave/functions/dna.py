@@ -114,7 +114,7 @@ def bernoulli(p: float | Column, *key: Column) -> Column:
 def k_rule(max_len: Column | int, n_reads: Column | int, part: int = 5) -> Column:
     """The k-mer length for reads of both strands: a fifth (``part``) of the longest, or what makes k-mers
     of all bases rare, whichever is greater."""
-    max_len, n_reads = (c if isinstance(c, Column) else F.lit(c) for c in (max_len, n_reads))
+    max_len, n_reads = ((c if isinstance(c, Column) else F.lit(c)).cast("double") for c in (max_len, n_reads))
     return F.greatest(F.floor(max_len / part), F.ceil(F.round(F.log(n_reads * max_len) / math.log(4), 9))).cast("int")
 
 
