@@ -61,43 +61,69 @@ def similarity(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return shared, agree
 
 
-def _forest(sim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ends of a maximum spanning forest; ``sim`` is symmetric, -1 where there is no link."""
-    n = len(sim)
+def _forest(sim: np.ndarray, two: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of a maximum spanning forest of the links in ``sim``, -1 where there is none.
+
+    ``two``: the rows are one set of nodes and the columns another, numbered after the rows; otherwise
+    rows and columns are the same nodes.
+    """
+    rows, n = len(sim), len(sim) + (sim.shape[1] if two else 0)
     best, via = np.full(n, -2.0, np.float32), np.full(n, -1)
-    done = np.zeros(n, bool)
+    open_ = best.copy()  # best, but -3 for nodes that are in the forest
     a, b = [], []
     for _ in range(n):
-        v = int(np.argmax(np.where(done, -3, best)))
+        v = int(np.argmax(open_))
         if best[v] > -1:
             a.append(via[v])
             b.append(v)
-        done[v] = True
-        better = sim[v] > np.maximum(best, -1)
-        via[better] = v
-        best[better] = sim[v][better]
+        best[v] = np.inf
+        open_[v] = -3
+        if two and v < rows:
+            part, near = slice(rows, n), sim[v]
+        elif two:
+            part, near = slice(0, rows), sim[:, v - rows]
+        else:
+            part, near = slice(0, n), sim[v]
+        better = near > np.maximum(best[part], -1)
+        via[part][better] = v
+        best[part][better] = near[better]
+        open_[part][better] = near[better]
     return np.array(a, int), np.array(b, int)
 
 
+def _near(sim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each row's NEAREST links."""
+    if sim.shape[1] <= NEAREST:
+        return np.nonzero(sim >= 0)
+    at = np.argpartition(-sim, NEAREST - 1, axis=1)[:, :NEAREST]
+    i, j = np.repeat(np.arange(len(sim)), NEAREST), at.ravel()
+    keep = sim[i, j] >= 0
+    return i[keep], j[keep]
+
+
 def links(ids: np.ndarray, codes: np.ndarray, block: np.ndarray, most: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of one block pair: their ends and similarity.  Only pairs of different blocks count if there are two."""
-    shared, agree = similarity(codes, codes)
-    differ = shared - agree
-    ok = (shared > 0) & (differ * most.denominator <= shared * most.numerator)
-    np.fill_diagonal(ok, False)
-    if block[0] != block[-1] or (block != block[0]).any():
-        ok &= block[:, None] != block[None, :]
+    """Links of one block, or between two blocks: their ends and similarity."""
+    first = block == block.min()
+    two = not first.all()
+    x, y = (codes[first], codes[~first]) if two else (codes, codes)
+    if two:
+        ids = np.concatenate([ids[first], ids[~first]])
+    shared, agree = similarity(x, y)
+    ok = (shared > 0) & ((shared - agree) * most.denominator <= shared * most.numerator)
+    if not two:
+        np.fill_diagonal(ok, False)
     sim = np.where(ok, agree / np.maximum(shared, 1), -1).astype(np.float32)
-    a, b = _forest(sim)
-    if len(ids) > NEAREST + 1:
-        near = np.argpartition(-sim, NEAREST, axis=1)[:, :NEAREST]
-        i = np.repeat(np.arange(len(ids)), NEAREST)
-        j = near.ravel()
-        keep = sim[i, j] >= 0
-        a, b = np.append(a, i[keep]), np.append(b, j[keep])
-    s = sim[a, b].astype(float)
-    lo, hi = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
-    return lo, hi, s
+    a, b = _forest(sim, two)
+    i, j = _near(sim)
+    shift = len(x) if two else 0
+    a, b = np.append(a, i), np.append(b, j + shift)
+    if two:
+        j, i = _near(sim.T)
+        a, b = np.append(a, i), np.append(b, j + shift)
+        flip = a > b
+        a, b = np.where(flip, b, a), np.where(flip, a, b)
+    s = sim[a, b - shift].astype(float)
+    return np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), s
 
 
 def _compare(most: Fraction):
