@@ -80,14 +80,19 @@ def columns(vote: DataFrame, ll: DataFrame, cov: float, h_rate: float = 0.0) ->
     One shuffle: partial sums per column; the likelihood table is as small as a read is long.
     """
     pairs = hypotheses(h_rate)
-    joined = vote.join(ll.withColumnRenamed("called", "base"), ["pos", "base"], "left")
+    # the likelihood of a vote under each hypothesis depends on its position, base and strand only
     seen = [F.when(F.col("rc"), F.col(f"ll{3 - b}")).otherwise(F.col(f"ll{b}")) for b in range(4)]
-    weight = F.when(F.col("own"), 1 + prior_votes(cov, h_rate)).otherwise(1)
+    under = [(seen[a] if a == b else F.log(0.5 * F.exp(seen[a]) + 0.5 * F.exp(seen[b]))).alias(f"h{a}{b}") for a, b in pairs]
+    table = ll.withColumn("rc", F.explode(F.array(F.lit(False), F.lit(True)))).select("pos", F.col("called").alias("base"), "rc", *under)
+    joined = vote.join(table, ["pos", "base", "rc"], "left")
+    extra = prior_votes(cov, h_rate)
     aggs = []
     for a, b in pairs:
-        one = seen[a] if a == b else F.log(0.5 * F.exp(seen[a]) + 0.5 * F.exp(seen[b]))
+        h = F.col(f"h{a}{b}")
         prior = math.log(0.25) + math.log(1 - h_rate) if a == b else -math.log(6) + math.log(h_rate)
-        aggs += [F.round(F.coalesce(F.sum(one * weight), F.lit(0.0)) + prior, 9).alias(f"l{a}{b}"), F.round(F.coalesce(F.sum(one), F.lit(0.0)) + prior, 9).alias(f"q{a}{b}")]
+        total = F.coalesce(F.sum(h), F.lit(0.0))
+        again = F.coalesce(F.max(F.when(F.col("own"), h)), F.lit(0.0)) * extra if extra else F.lit(0.0)
+        aggs += [F.round(total + again + prior, 9).alias(f"l{a}{b}"), F.round(total + prior, 9).alias(f"q{a}{b}")]
     return joined.groupBy("r1", "col").agg(F.count("base").alias("n"), F.max(F.when(F.col("own"), F.col("base"))).alias("orig"), *aggs)
 
 
@@ -105,29 +110,44 @@ def call(cols: DataFrame, max_votes: int, min_votes: int, h_rate: float = 0.0) -
     an unknown base, or has no doubt at all, has the greatest one.
     """
     pairs = hypotheses(h_rate)
-    code = lambda i: reduce(lambda c, x: c.when(F.col("best") == x[0], x[1][i]), list(enumerate(pairs))[1:], F.when(F.col("best") == 0, pairs[0][i]))
+    pick = lambda key, value: reduce(lambda c, x: c.when(F.col(key) == x[0], value(*x[1])), list(enumerate(pairs))[1:], F.when(F.col(key) == 0, value(*pairs[0])))
     few = (F.col("n") != 0) & (F.col("n") >= min_votes)
     accepted = few & (F.col("n") <= max_votes) if max_votes else few
-    df = cols.withColumn("best", best(pairs)).withColumn("mapped", iupac(code(0), code(1))).withColumn("accepted", accepted)
-    own = reduce(lambda c, x: c.when(F.col("orig") == x[1][0], x[0]) if x[1][0] == x[1][1] else c, list(enumerate(pairs))[1:], F.when(F.col("orig") == 0, 0))
-    df = df.withColumn("ref", F.when(F.col("accepted"), F.col("best")).otherwise(own))
-    df = df.withColumn("base", F.when(F.col("accepted"), F.col("mapped")).otherwise(F.coalesce(code_base(F.col("orig")), F.lit("N"))))
-    q = F.array(*[F.col(f"q{a}{b}") for a, b in pairs])
-    odds = F.when(F.col("ref").isNotNull(), F.transform(q, lambda x: F.exp(x - F.element_at(q, F.col("ref") + 1))))
-    df = df.withColumn("odds", odds).withColumn("total", F.aggregate("odds", F.lit(0.0), lambda s, x: s + x))
-    error = (F.col("total") - 1) / F.col("total")
+    homozygous = [(i, a) for i, (a, b) in enumerate(pairs) if a == b]
+    own = reduce(lambda c, x: c.when(F.col("orig") == x[1], x[0]), homozygous[1:], F.when(F.col("orig") == homozygous[0][1], homozygous[0][0]))
+    df = computed(cols, best=best(pairs), accepted=accepted)
+    df = computed(df, ref=F.when(F.col("accepted"), F.col("best")).otherwise(own), mapped=iupac(pick("best", lambda a, b: F.lit(a)), pick("best", lambda a, b: F.lit(b))))
+    df = computed(df, q_ref=pick("ref", lambda a, b: F.col(f"q{a}{b}")))
+    # the odds of all other hypotheses against the chosen one, summed without it, so that small ones don't vanish
+    others = reduce(lambda x, y: x + y, [F.when(F.col("ref") == i, 0.0).otherwise(F.exp(F.col(f"q{a}{b}") - F.col("q_ref"))) for i, (a, b) in enumerate(pairs)])
+    df = computed(df, others=others)
+    error = F.col("others") / (F.col("others") + 1)
     score = F.floor(F.round(-10 * F.log10(error) / F.greatest(F.lit(1), F.col("n")), 6))
     qual = F.when(error >= 1e-100, F.least(F.lit(GREATEST), F.greatest(F.lit(0), score)) + LOWEST).otherwise(LOWEST + GREATEST)
-    return df.withColumn("qual", F.chr(F.coalesce(qual, F.lit(LOWEST + GREATEST))))
+    base = F.when(F.col("accepted"), F.col("mapped")).otherwise(F.coalesce(code_base(F.col("orig")), F.lit("N")))
+    return df.withColumn("base", base).withColumn("qual", F.chr(F.coalesce(qual, F.lit(LOWEST + GREATEST))))
+
+
+def computed(df: DataFrame, **cols: Column) -> DataFrame:
+    """``df`` with columns that are computed once: a generator keeps the optimizer from repeating their
+    expressions wherever later columns use them."""
+    once = F.explode(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))).alias("_once")
+    return df.select("*", once).select("*", "_once.*").drop("_once")
 
 
 def expected_calls(called: DataFrame, h_rate: float = 0.0) -> DataFrame:
     """``(pos, true_b, called_b, w)``: posterior counts of true and called bases over all columns, rejected
     ones too; half of a genotype's share counts for each of its bases."""
     pairs = hypotheses(h_rate)
-    share = F.array(*[F.struct(F.lit(x).alias("b"), (F.element_at("odds", i + 1) / F.col("total") * 0.5).alias("w")) for i, p in enumerate(pairs) for x in p])
-    rows = called.where("orig is not null and total > 0").select(F.col("col").alias("pos"), F.col("orig").alias("called_b"), F.explode(share).alias("s"))
-    return rows.groupBy("pos", F.col("s.b").alias("true_b"), "called_b").agg(F.sum("s.w").alias("w"))
+    # the posterior doesn't depend on the hypothesis that the odds are taken against
+    called = computed(called.where("orig is not null"), top=F.greatest(*[F.col(f"q{a}{b}") for a, b in pairs]))
+    called = computed(called, **{f"e{a}{b}": F.exp(F.col(f"q{a}{b}") - F.col("top")) for a, b in pairs})
+    called = computed(called, total=reduce(lambda x, y: x + y, [F.col(f"e{a}{b}") for a, b in pairs]))
+    share = [F.col(f"e{a}{b}") / F.col("total") * 0.5 for a, b in pairs]
+    sums = [F.sum(reduce(lambda x, y: x + y, [w for w, p in zip(share, pairs, strict=True) for c in p if c == b])).alias(f"w{b}") for b in range(4)]
+    rows = called.groupBy(F.col("col").alias("pos"), F.col("orig").alias("called_b")).agg(*sums)
+    each = F.explode(F.array(*[F.struct(F.lit(b).alias("true_b"), F.col(f"w{b}").alias("w")) for b in range(4)])).alias("s")
+    return rows.select("pos", "called_b", each).select("pos", "s.true_b", "called_b", "s.w")
 
 
 def joined_columns(called: DataFrame, *names: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandweave.operators import kmers, overlaps
 from strandweave.operators import reads as R
+from strandweave.scratch import Scratch
 from strandweave.sources.tables import table
 
 
@@ -21,5 +22,10 @@ def index(spark: SparkSession, d: str) -> DataFrame:
     return kmers.dedupe(occurrences(spark, d))
 
 
-def edges(spark: SparkSession, d: str) -> DataFrame:
-    return overlaps.clean_edges(table(spark, d, "neighbors"), reads(spark, d))
+def stored_reads(spark: SparkSession, d: str) -> DataFrame:
+    """Clean reads written once, for queries that join them several times."""
+    return Scratch(spark, "reads").keep(reads(spark, d))
+
+
+def edges(spark: SparkSession, d: str, stored: DataFrame | None = None) -> DataFrame:
+    return overlaps.clean_edges(table(spark, d, "neighbors"), stored if stored is not None else stored_reads(spark, d))

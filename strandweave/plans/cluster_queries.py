@@ -64,8 +64,8 @@ def cluster_neighbors(spark, d):
 
 def cluster_semi_join(spark, d):
     """Overlaps of original reads, put into the read's columns, clustered, and kept within the read's cluster."""
-    reads = base.reads(spark, d)
-    edges = overlaps.refilter(base.edges(spark, d), H, E).join(reads.where("is_orig").select(F.col("read_id").alias("r1")), "r1", "left_semi")
+    reads = base.stored_reads(spark, d)
+    edges = overlaps.refilter(base.edges(spark, d, reads), H, E).join(reads.where("is_orig").select(F.col("read_id").alias("r1")), "r1", "left_semi")
     placed = overlaps.geometry(edges.select("r1", "r2", "offs", "nerr"), reads, keep_seqs=True)
     brothers = overlaps.in_frame(placed).select(F.col("r1").alias("target_id"), F.col("r2").alias("read_id"), F.col("padded").alias("seq"))
     return clustering.semi_join(edges, clustering.cluster_neighbors(brothers, _matrix(spark, d))).select("r1", "r2", "offs", "nerr")

@@ -40,7 +40,8 @@ def em_confusion(spark, d):
 
 
 def _first(spark, d):
-    cov = model.first_coverage(base.edges(spark, d), base.reads(spark, d))
+    reads = base.stored_reads(spark, d)
+    cov = model.first_coverage(base.edges(spark, d, reads), reads)
     return cov.groupBy("cov").agg(F.count("*").alias("n"))
 
 
@@ -57,13 +58,15 @@ def coverage_caps(spark, d):
 
 
 def coverage_histogram(spark, d):
-    return model.coverage_histogram(base.edges(spark, d), base.reads(spark, d))
+    reads = base.stored_reads(spark, d)
+    return model.coverage_histogram(base.edges(spark, d, reads), reads)
 
 
 def param_grid_histograms(spark, d):
     """On the model-selection subset: limits from 75 to 99 columns, and 5, 10 and 15 % mismatches."""
-    subset = base.edges(spark, d).where(bernoulli(SUBSET, F.col("r1"), F.lit("subset")))
-    return model.grid_histograms(subset, base.reads(spark, d), list(range(75, 100, 2)), [0.05, 0.1, 0.15])
+    reads = base.stored_reads(spark, d)
+    subset = base.edges(spark, d, reads).where(bernoulli(SUBSET, F.col("r1"), F.lit("subset")))
+    return model.grid_histograms(subset, reads, list(range(75, 100, 2)), [0.05, 0.1, 0.15])
 
 
 def param_select(spark, d):

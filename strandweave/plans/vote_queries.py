@@ -19,7 +19,8 @@ def _max_len(spark, d):
 
 
 def votes(spark, d):
-    return voting.votes(refilter(base.edges(spark, d), H, E), base.reads(spark, d))
+    reads = base.stored_reads(spark, d)
+    return voting.votes(refilter(base.edges(spark, d, reads), H, E), reads)
 
 
 def likelihood_table(spark, d):
@@ -129,7 +130,7 @@ b1 AS (SELECT *, {best} AS best, n <> 0 AND n <= {MAX_VOTES} AND n >= {MIN_VOTES
 b2 AS (SELECT *, substr('{letters}', best + 1, 1) AS mapped, CASE WHEN accepted THEN best ELSE {own} END AS ref FROM b1),
 b3 AS (SELECT *, list_transform({qs}, lambda x: exp(x - ({qs})[ref + 1])) AS odds FROM b2),
 b4 AS (SELECT *, CASE WHEN ref IS NOT NULL THEN list_sum(odds) END AS total FROM b3),
-b5 AS (SELECT *, (total - 1) / total AS error FROM b4),
+b5 AS (SELECT *, list_sum(list_transform(range(0, len(odds)), lambda i: CASE WHEN i = ref THEN 0 ELSE odds[i + 1] END)) / total AS error FROM b4),
 called AS (
     SELECT *, CASE WHEN accepted THEN mapped ELSE coalesce(substr('ACGT', orig + 1, 1), 'N') END AS base,
         chr(CASE WHEN error >= 1e-100 THEN least(93, greatest(0, floor(round(-10 * log10(error) / greatest(1, n), 6)))) + 33 ELSE 126 END::INTEGER) AS qual
