@@ -46,13 +46,17 @@ def iupac(code1: Column, code2: Column) -> Column:
 
 
 def kmer_hash(kmer: Column) -> Column:
-    """The 32-bit hash of a k-mer: base codes as two-bit digits that wrap after 16 bases; N counts 0."""
-    code = lambda c: F.greatest(F.instr(F.lit("CGT"), c), F.lit(0)).cast("long")
-    terms = F.transform(
-        F.split(kmer, ""),
-        lambda c, i: F.when(c == "", F.lit(0).cast("long")).otherwise(code(c) * F.pow(F.lit(4), i % HASH_BASES).cast("long")),
+    """The 32-bit hash of a k-mer over A, C, G, T, N: base codes as two-bit digits, the first one lowest,
+    that begin anew after 16 bases; N counts 0.
+
+    Every 16 bases are one number to the base 4, so a k-mer takes a few conversions, not one a base.
+    """
+    digits = F.translate(kmer, "ACGTNZ", "012300")
+    parts = F.transform(
+        F.sequence(F.lit(0), F.floor(F.greatest(F.length(kmer) - 1, F.lit(0)) / HASH_BASES).cast("int")),
+        lambda i: F.coalesce(F.conv(F.reverse(F.substring(digits, i * HASH_BASES + 1, F.lit(HASH_BASES))), 4, 10).cast("long"), F.lit(0).cast("long")),
     )
-    return F.pmod(F.aggregate(terms, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1 << 32).cast("long"))
+    return F.pmod(F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1 << 32).cast("long"))
 
 
 @F.arrow_udf(T.IntegerType())
