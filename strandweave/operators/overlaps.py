@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.functions.dna import hamming
+from strandweave.functions.once import computed
 from strandweave.operators.kmers import frequency_filter, with_order
 from strandweave.operators.ranking import first_per_key
+from strandweave.scratch import Scratch
 
 
 
@@ -41,7 +43,8 @@ def geometry(edges: DataFrame, reads: DataFrame, keep_seqs: bool = False) -> Dat
 def with_mismatches(placed: DataFrame, name: str = "nerr") -> DataFrame:
     """Differing columns of the overlap; an N differs from a base and equals an N."""
     a, b = (F.substring(F.col(f"seq{i}"), F.col(f"st{i}") + 1, F.col("overlap")) for i in (1, 2))
-    return placed.withColumn(name, hamming(a, b))
+    # a filter on the count would otherwise count once more
+    return computed(placed.drop(name), **{name: hamming(a, b)})
 
 
 def clean_edges(neighbors: DataFrame, reads: DataFrame) -> DataFrame:
@@ -112,6 +115,8 @@ def neighbor_join(occurrences: DataFrame, reads: DataFrame, h: int, e: float, ma
     """
     left = None if subset is None else subset
     few = frequency_filter(occurrences, max_cov)
+    if max_cov > 0:  # read on both sides of the join
+        few = Scratch(reads.sparkSession, "occurrences").keep(few)
     if subset is None:
         cand = offset_candidates(few)
     else:  # r1 in the subset on either side of the order: mirror what begins with a greater read

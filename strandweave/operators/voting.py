@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.functions.dna import base_code, code_base, iupac
+from strandweave.functions.once import computed
 
 #: Hypotheses: one base, or two bases in alphabetical order.
 HOMOZYGOUS = [(b, b) for b in range(4)]
@@ -128,13 +129,6 @@ def call(cols: DataFrame, max_votes: int, min_votes: int, h_rate: float = 0.0) -
     return df.withColumn("base", base).withColumn("qual", F.chr(F.coalesce(qual, F.lit(LOWEST + GREATEST))))
 
 
-def computed(df: DataFrame, **cols: Column) -> DataFrame:
-    """``df`` with columns that are computed once: a generator keeps the optimizer from repeating their
-    expressions wherever later columns use them."""
-    once = F.explode(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))).alias("_once")
-    return df.select("*", once).select("*", "_once.*").drop("_once")
-
-
 def expected_calls(called: DataFrame, h_rate: float = 0.0) -> DataFrame:
     """``(pos, true_b, called_b, w)``: posterior counts of true and called bases over all columns, rejected
     ones too; half of a genotype's share counts for each of its bases."""
