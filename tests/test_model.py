@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 from strandweave.operators import clustering, model, voting
 from strandweave.plans.pipeline import Options, correct
@@ -21,6 +22,25 @@ def test_independent_set_is_the_greedy_one(spark):
     assert {r.id for r in model.not_independent(df).collect()} == out - kept
 
 
+def test_histogram_of_a_subset_against_brute_force(spark):
+    """Only reads of the subset are counted, and only they leave others out."""
+    rng = random.Random(7)
+    reads = {i: "".join(rng.choice("ACGTN") for _ in range(6)) for i in range(120)}
+    pairs = {tuple(sorted(rng.sample(range(120), 2))) for _ in range(200)}
+    offs = {p: rng.randint(-3, 3) for p in pairs}
+    offs |= {(b, a): -o for (a, b), o in offs.items()} | {(i, i): 0 for i in range(120)}
+    inside = {i for i in range(120) if rng.random() < 0.3}
+    edges = [(a, b, o) for (a, b), o in offs.items() if a in inside]
+    want, out = Counter(), set()
+    for i in sorted(x for x in inside if x % 2 == 0):
+        if i not in out:
+            want[sum(o <= 0 and reads[b][-o] in "ACGT" for a, b, o in edges if a == i)] += 1
+            out |= {b for a, b, _ in edges if a == i}
+    rows = spark.createDataFrame([(i, s, i % 2 == 0, 6) for i, s in reads.items()], "read_id long, seq string, is_orig boolean, len int")
+    got = model.coverage_histogram(spark.createDataFrame(edges, "r1 long, r2 long, offs int"), rows)
+    assert {r.cov: r.n for r in got.collect()} == want
+
+
 def test_poisson_fit(spark):
     hist = spark.createDataFrame([(k, round(1e6 * math.exp(-7 + k * math.log(7) - math.lgamma(k + 1)))) for k in range(30)], "cov long, n long")
     got = model.poisson_fit(hist).first()
