@@ -21,7 +21,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--e-min", type=float, default=0.05)
     p.add_argument("--e-max", type=float, default=0.15)
     p.add_argument("--h-rate", type=float, default=0.0)
-    p.add_argument("--subset", type=float, default=0.1)
+    p.add_argument("--subset", type=float, default=1.0)
     p.add_argument("--no-cluster", action="store_true")
     a = p.parse_args(argv)
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(message)s")

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandweave.functions.dna import bernoulli
 from strandweave.operators import model, voting
 from strandweave.plans import base, vote_queries
-from strandweave.plans.params import COV, MAX_VOTES, MIN_VOTES, SUBSET
+from strandweave.plans.params import COV, MAX_VOTES, MIN_VOTES
 from strandweave.plans.vote_queries import LL, SMOOTHED, VOTES, called_sql
 from strandweave.sources.tables import table
 
@@ -34,9 +33,8 @@ def em_one_step(spark, d):
 
 
 def em_confusion(spark, d):
-    """EM on the model-selection subset."""
-    vote = vote_queries.votes(spark, d).where(bernoulli(SUBSET, F.col("r1"), F.lit("subset")))
-    return model.em(vote, vote_queries._max_len(spark, d), COV, MAX_VOTES, MIN_VOTES)
+    """EM on the votes of all reads."""
+    return model.em(vote_queries.votes(spark, d), vote_queries._max_len(spark, d), COV, MAX_VOTES, MIN_VOTES)
 
 
 def _first(spark, d):
@@ -63,10 +61,9 @@ def coverage_histogram(spark, d):
 
 
 def param_grid_histograms(spark, d):
-    """On the model-selection subset: limits from 75 to 99 columns, and 5, 10 and 15 % mismatches."""
+    """Over all reads: limits from 75 to 99 columns, and 5, 10 and 15 % mismatches."""
     reads = base.stored_reads(spark, d)
-    subset = base.edges(spark, d, reads).where(bernoulli(SUBSET, F.col("r1"), F.lit("subset")))
-    return model.grid_histograms(subset, reads, list(range(75, 100, 2)), [0.05, 0.1, 0.15])
+    return model.grid_histograms(base.edges(spark, d, reads), reads, list(range(75, 100, 2)), [0.05, 0.1, 0.15])
 
 
 def param_select(spark, d):

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 from strandweave.operators import clustering, model, voting
+from strandweave.plans import base, model_queries, vote_queries
 from strandweave.plans.pipeline import Options, correct
 
 
@@ -107,3 +108,14 @@ def test_correct_mends_injected_errors(spark):
     left = sum(got[i].seq != truth[i] for i in truth)
     assert wrong > 60 and left < wrong * 0.2
     assert all(len(r.qual) == len(r.seq) for r in got.values())
+
+
+def test_fitting_queries_read_all_reads(spark, sf, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(model, "em", lambda vote, *a: seen.update(em=vote))
+    monkeypatch.setattr(model, "grid_histograms", lambda edges, *a: seen.update(grid=edges))
+    model_queries.em_confusion(spark, sf)
+    model_queries.param_grid_histograms(spark, sf)
+    assert seen["em"].select("r1").distinct().count() == vote_queries.votes(spark, sf).select("r1").distinct().count()
+    assert seen["grid"].count() == base.edges(spark, sf).count()
+    assert Options().subset == 1
