@@ -3,7 +3,7 @@ import random
 from collections import Counter
 
 from strandweave.operators import clustering, model, voting
-from strandweave.plans import base, model_queries, vote_queries
+from strandweave.plans import base, model_queries, pipeline_queries, vote_queries
 from strandweave.plans.pipeline import Options, correct
 
 
@@ -119,3 +119,9 @@ def test_fitting_queries_read_all_reads(spark, sf, monkeypatch):
     assert seen["em"].select("r1").distinct().count() == vote_queries.votes(spark, sf).select("r1").distinct().count()
     assert seen["grid"].count() == base.edges(spark, sf).count()
     assert Options().subset == 1
+
+
+def test_registered_correction_runs_all_em_iterations(spark, sf, monkeypatch):
+    monkeypatch.setattr(pipeline_queries, "_correct", lambda reads, options=None: options or Options())
+    assert pipeline_queries.correct(spark, sf) == Options()
+    assert Options().em_iterations == 10
