@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from strandweave.functions.dna import hamming
 from strandweave.functions.once import computed
-from strandweave.operators.kmers import frequency_filter, with_order
+from strandweave.operators.kmers import frequency_filter, index_counts, with_order
 from strandweave.operators.ranking import first_per_key
 from strandweave.scratch import Scratch
 
+#: A k-mer seen more often is paired by several tasks, each with about so many of its left reads.
+HEAVY = 1000
 
 
 def rate() -> Column:
@@ -92,17 +94,27 @@ def best_alignments(edges: DataFrame, tie: list[str] | None = None) -> DataFrame
     return best.select("r1", "r2", *[f"b.{c}" for c in rest])
 
 
-def offset_candidates(occurrences: DataFrame, left: Column | None = None) -> DataFrame:
+def paired(a: DataFrame, b: DataFrame, occurrences: DataFrame, left_read: str) -> DataFrame:
+    """All pairs of ``a`` and ``b`` with a common k-mer; the left reads of a heavy k-mer are dealt to parts."""
+    parts = index_counts(occurrences).where(F.col("occ") > HEAVY).select("kmer", F.ceil(F.col("occ") / HEAVY).cast("int").alias("_parts"))
+    n = F.coalesce("_parts", F.lit(1))
+    a = a.join(parts, "kmer", "left").withColumn("_part", F.pmod(F.xxhash64(left_read), n).cast("int")).drop("_parts")
+    b = b.join(parts, "kmer", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), n - 1))).drop("_parts")
+    return a.join(b, ["kmer", "_part"]).drop("_part")
+
+
+def offset_candidates(occurrences: DataFrame, left: Column | None = None, spread: bool = False) -> DataFrame:
     """``(r1, r2, offs, khash, kmer)``, r1 < r2: distinct placements of two reads by a common k-mer, with the
     first such k-mer in the order of the index.  ``left`` limits r1.
 
-    The shuffle is by k-mer; what a k-mer can pair is bounded by the frequency filter before it.
+    The shuffle is by k-mer; what a k-mer can pair is bounded by the frequency filter before it.  Without
+    one, ``spread`` deals heavy k-mers to several tasks.
     """
     a = with_order(occurrences).select("kmer", "khash", F.col("read_id").alias("r1"), F.col("pos").alias("pos1"))
     b = occurrences.select("kmer", F.col("read_id").alias("r2"), F.col("pos").alias("pos2"))
     if left is not None:
         a = a.where(left)
-    pairs = a.join(b, "kmer").where("r1 < r2")
+    pairs = (paired(a, b, occurrences, "r1") if spread else a.join(b, "kmer")).where("r1 < r2")
     first = pairs.groupBy("r1", "r2", (F.col("pos1") - F.col("pos2")).alias("offs")).agg(F.min(F.struct("khash", "kmer")).alias("k"))
     return first.select("r1", "r2", "offs", "k.khash", "k.kmer")
 
@@ -118,12 +130,12 @@ def neighbor_join(occurrences: DataFrame, reads: DataFrame, h: int, e: float, ma
     if max_cov > 0:  # read on both sides of the join
         few = Scratch(reads.sparkSession, "occurrences").keep(few)
     if subset is None:
-        cand = offset_candidates(few)
+        cand = offset_candidates(few, spread=max_cov <= 0)
     else:  # r1 in the subset on either side of the order: mirror what begins with a greater read
         tagged = few.withColumn("inside", left)
         a = with_order(tagged.where("inside")).select("kmer", "khash", F.col("read_id").alias("x"), F.col("pos").alias("px"))
         b = tagged.select("kmer", F.col("read_id").alias("y"), F.col("pos").alias("py"), F.col("inside").alias("y_inside"))
-        pairs = a.join(b, "kmer").where("x <> y and (x < y or not y_inside)")
+        pairs = (a.join(b, "kmer") if max_cov > 0 else paired(a, b, few, "x")).where("x <> y and (x < y or not y_inside)")
         first = pairs.groupBy(F.col("x").alias("r1"), F.col("y").alias("r2"), (F.col("px") - F.col("py")).alias("offs")).agg(F.min(F.struct("khash", "kmer")).alias("k"), F.max("y_inside").alias("y_inside"))
         cand = first.select("r1", "r2", "offs", "k.khash", "k.kmer", "y_inside")
     scored = with_mismatches(geometry(cand, reads, keep_seqs=True).where(F.col("overlap") >= h))

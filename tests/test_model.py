@@ -2,6 +2,8 @@ import math
 import random
 from collections import Counter
 
+import pytest
+
 from strandweave.operators import clustering, model, voting
 from strandweave.plans import base, model_queries, pipeline_queries, vote_queries
 from strandweave.plans.pipeline import Options, correct
@@ -125,3 +127,18 @@ def test_registered_correction_runs_all_em_iterations(spark, sf, monkeypatch):
     monkeypatch.setattr(pipeline_queries, "_correct", lambda reads, options=None: options or Options())
     assert pipeline_queries.correct(spark, sf) == Options()
     assert Options().em_iterations == 10
+
+
+def test_fit_sees_overlaps_by_frequent_kmers(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def seen(edges, *_):
+        raise Seen(edges.where("r1 <> r2").count())
+
+    monkeypatch.setattr(model, "grid_histograms", seen)
+    rng = random.Random(3)
+    read = "".join(rng.choice("ACGT") for _ in range(50))
+    with pytest.raises(Seen) as got:
+        correct(spark.createDataFrame([(i, read) for i in range(320)], "src_row long, seq string"))
+    assert got.value.args[0] == 2 * 320 * 319

@@ -58,6 +58,20 @@ def test_neighbor_join_against_brute_force(spark):
     assert {tuple(r) for r in part.collect()} == {x for x in want if x[0] < 9}
 
 
+def test_heavy_kmers_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(overlaps, "HEAVY", 3)
+    rng = random.Random(6)
+    strand = "".join(rng.choice("ACGT") for _ in range(40))
+    seqs = [strand[s : s + 25] for s in (rng.randrange(16) for _ in range(20))]
+    reads = reads_df(spark, seqs)
+    index = kmers.dedupe(kmers.explode_kmers(reads, 8))
+    want = brute(seqs, 8, 15, 0.2)
+    assert {tuple(r) for r in overlaps.neighbor_join(index, reads, 15, 0.2, 0).collect()} == want
+    part = overlaps.neighbor_join(index, reads, 15, 0.2, 0, F.col("read_id") < 9)
+    assert {tuple(r) for r in part.collect()} == {x for x in want if x[0] < 9}
+
+
+
 def test_frequency_filter_at_its_limit(spark):
     rows = [("A", i, 0) for i in range(6)] + [("C", i, 0) for i in range(5)]
     occ = spark.createDataFrame(rows, "kmer string, read_id long, pos int")
