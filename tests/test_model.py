@@ -142,3 +142,18 @@ def test_fit_sees_overlaps_by_frequent_kmers(spark, monkeypatch):
     with pytest.raises(Seen) as got:
         correct(spark.createDataFrame([(i, read) for i in range(320)], "src_row long, seq string"))
     assert got.value.args[0] == 2 * 320 * 319
+
+
+def test_large_target_is_fitted_on_all_sequences(spark):
+    rng = random.Random(4)
+    one, two = ("".join(rng.choice("ACGT") for _ in range(60)) for _ in range(2))
+    seqs = [one[:i] + ("A" if one[i] != "A" else "C") + one[i + 1 :] for i in range(0, 60, 3)] + [two] * 8 + ["__" + two[2:]]
+    large = [(t, i, x) for t in range(8) for i, x in enumerate(seqs)]  # seeds differ by target
+    brothers = spark.createDataFrame([*large, (8, 0, two)], "target_id long, read_id long, seq string")
+    table = [(p, a, b, 0.997 if a == b else 0.001) for p in range(60) for a in range(4) for b in range(4)]
+    m = clustering.Matrix(spark.createDataFrame(table, "pos int, true_b int, called_b int, w double"), smoothing=0.0)
+    got = {}
+    for r in clustering.fit_centers(brothers, m, fit=4).collect():
+        got.setdefault(r.target_id, set()).add(r.center)
+    assert set(got) == set(range(9)) and got[8] == {two}
+    assert sum(got[t] == {one, two} for t in range(8)) >= 2
