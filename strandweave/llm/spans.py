@@ -6,9 +6,9 @@ task gives equal content the same name and the rounds need no exchange.  Each de
 neighbours and no symbol outgrows the cap of its round, so equal spans are parsed alike but for a margin
 of known width at either end.
 
-1. A span of the wanted length therefore has a boundary of the parse near its middle.  Spark counts the
-   symbols around boundaries (the content within a radius) over all records; those of two records reveal
-   where long repeats may be.
+1. A span of the wanted length therefore has a boundary of the parse near its middle.  The parse only chooses
+   boundaries: Spark counts hashes of the content within a radius of them over all records, and those of two
+   records reveal where long repeats may be.
 2. Only spans around revealed boundaries are then verified, by their whole content, packed without loss.
 3. Verified spans of a record that overlap or touch are merged.
 """
