@@ -3,14 +3,18 @@
 Rounds of recompression parse all sequences: a round names adjacent pairs (a, b) with a from one half of the
 symbols and b from the other, or runs of one symbol.  A name is a 64-bit mix of what it stands for, so every
 task gives equal content the same name and the rounds need no exchange.  Each decision depends only on
-neighbours and no symbol outgrows the cap of its round, so equal spans are parsed alike but for a margin
-of known width at either end.
-
-1. A span of the wanted length therefore has a boundary of the parse near its middle.  The parse only chooses
-   boundaries: Spark counts hashes of the content within a radius of them over all records, and those of two
-   records reveal where long repeats may be.
-2. Only spans around revealed boundaries are then verified, by their whole content, packed without loss.
+neighbours and no symbol outgrows the cap of its round, so equal spans hold the same symbols but for a
+margin of known width at either end.
+
+1. Of the symbols between the margins of a span, the one with the least name stands for it; equal spans
+   choose the same one, and most symbols are chosen by no span.  A chosen symbol is sent with its name, carried
+   outwards over the margins that each of its spans holds, and with the stretch that its spans cover.
+2. Spark brings equal names together.  A name of two records is revealed, and its spans are verified by
+   extending both ways from the symbol, base by base, against all stretches of that name.
 3. Verified spans of a record that overlap or touch are merged.
+
+What is sent is one row a chosen symbol and stretch, combined over the records of a task before.  Stretches that
+two records of a task have in common are known to be shared at once and wait for no other task.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +33,12 @@ from strandweave.scratch import Scratch
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 #: Kinds of rounds and the longest symbol that each may make; as many are run as the wanted length allows.
 ROUNDS = (("pair", 2), ("run", 4), ("pair", 8), ("run", 8), ("pair", 16), ("run", 32), ("pair", 64), ("run", 64))
-#: Bases that one 64-bit number holds.
-PER_KEY = 31
+#: Bases that one 64-bit word holds.
+WORD = 32
 #: Bases that a task parses at a time.
-CHUNK = 1 << 22
+CHUNK = 1 << 21
+#: Stretches that a task verifies at a time, about.
+CELL = 1 << 16
 
 
 def mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -42,41 +49,39 @@ def mix(x: np.ndarray, salt: int) -> np.ndarray:
 
 
 def schedule(min_len: int) -> tuple[list[tuple[str, int]], int, int]:
-    """The rounds for spans of ``min_len``, the longest symbol they make, and the radius around a boundary.
+    """The rounds for spans of ``min_len``, the margin at either end, and the longest symbol they make.
 
     A round moves the margin in which two equal spans may be parsed differently inwards by one symbol (pairs)
-    or one run.  Rounds are added while the part between the margins still holds a whole symbol.
+    or one run.  Rounds are added while a whole symbol surely lies between the margins.
     """
     done, margin, longest = [], 0, 1
     for kind, cap in ROUNDS:
-        margin += longest if kind == "pair" else cap
-        if min_len - 2 * margin < cap:
+        wider = margin + (longest if kind == "pair" else cap)
+        if min_len < 2 * wider + 2 * cap - 1:
             break
         done.append((kind, cap))
-        longest = cap
-    return done, longest, max(0, (min_len - longest) // 2)
-
-
-def parse(code: np.ndarray, row: np.ndarray, rounds: list[tuple[str, int]]) -> np.ndarray:
-    """Flat positions where symbols of the parse begin; codes over 3 end a sequence and are no symbols."""
-    base = np.flatnonzero(code < 4)
-    if not len(base):
-        return base
-    begin = base
-    name = mix(code[base].astype(np.uint64), 1)
-    size = np.ones(len(base), np.int64)
-    seq = np.cumsum(np.append(True, (np.diff(base) > 1) | (row[base[1:]] != row[base[:-1]])))
+        margin, longest = wider, cap
+    return done, margin, longest
+
+
+def parse(code: np.ndarray, rounds: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and name of the symbols; codes over 3 end a sequence and are no symbols."""
+    begin = np.flatnonzero(code < 4)
+    name = mix(code[begin].astype(np.uint64), 1)
+    size = np.ones(len(begin), np.int64)
     for salt, (kind, cap) in enumerate(rounds, 2):
+        if len(begin) < 2:
+            break
+        joint = begin[:-1] + size[:-1] == begin[1:]
         if kind == "pair":
             half = (mix(name, salt) >> np.uint64(63)).astype(bool)
-            first = np.append(half[:-1] & ~half[1:] & (seq[:-1] == seq[1:]) & (size[:-1] + size[1:] <= cap), False)
-            i = np.flatnonzero(first)
+            i = np.flatnonzero(half[:-1] & ~half[1:] & joint & (size[:-1] + size[1:] <= cap))
             name[i] = mix(name[i] * np.uint64(MIX[1]) + (name[i + 1] >> np.uint64(1)), salt)
             size[i] += size[i + 1]
             keep = np.ones(len(name), bool)
             keep[i + 1] = False
         else:
-            new = np.append(True, (name[1:] != name[:-1]) | (seq[1:] != seq[:-1]))
+            new = np.append(True, (name[1:] != name[:-1]) | ~joint)
             at = np.flatnonzero(new)
             times = np.diff(np.append(at, len(name)))
             joined = (times > 1) & (times * size[at] <= cap)
@@ -84,24 +89,31 @@ def parse(code: np.ndarray, row: np.ndarray, rounds: list[tuple[str, int]]) -> n
             name[i] = mix(name[i] + times[joined].astype(np.uint64), salt)
             size[i] *= times[joined]
             keep = new | np.repeat(~joined, times)
-        begin, name, size, seq = begin[keep], name[keep], size[keep], seq[keep]
-    return begin
-
-
-def packed(code: np.ndarray, length: int) -> list[np.ndarray]:
-    """Of every flat position the ``length`` bases from there on, two bits each, PER_KEY to a number."""
-    n, out = len(code), []
-    two = np.append(code, np.zeros(length, code.dtype)).astype(np.int64) & 3
-    for first in range(0, length, PER_KEY):
-        key = np.zeros(n, np.int64)
-        for d in range(first, min(first + PER_KEY, length)):
-            key <<= 2
-            key |= two[d : d + n]
-        out.append(key)
-    return out
+        begin, name, size = begin[keep], name[keep], size[keep]
+    return begin, begin + size, name
+
 
+def ahead(x: np.ndarray, d: int) -> np.ndarray:
+    """``x`` moved ``d`` places to the front, zeros after it."""
+    return np.append(x[d:], np.zeros(min(d, len(x)), x.dtype)) if d else x
 
-class _Text:
+
+def packed(code: np.ndarray, length: int) -> np.ndarray:
+    """Of every flat position the ``length`` (at most WORD) bases from there on as one number, two bits each."""
+    power, size, out, done = code.astype(np.uint64) & np.uint64(3), 1, None, 0
+    while length:
+        if length & 1:
+            part = ahead(power, done)
+            out = part if out is None else (out << np.uint64(2 * size)) | part
+            done += size
+        length >>= 1
+        if length:
+            power = (power << np.uint64(2 * size)) | ahead(power, size)
+            size *= 2
+    return out if out is not None else np.zeros(len(code), np.uint64)
+
+
+class Text:
     """Sequences of a batch as one array of codes, each followed by a separator."""
 
     def __init__(self, seqs: list[str]):
@@ -116,76 +128,184 @@ class _Text:
         self.run = np.minimum.accumulate(stop[::-1])[::-1] - np.arange(len(self.code))
 
 
-def _batches(batches: Iterator[pa.RecordBatch], seq: int) -> Iterator[pa.RecordBatch]:
-    import pyarrow.compute as pc
+def chosen(text: Text, min_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(begin, first, count, name)`` of the chosen symbols: where a symbol begins, the first of the spans that
+    choose it, their number (they begin one after the other), and the name carried over the margins."""
+    rounds, margin, _ = schedule(min_len)
+    begin, end, name = parse(text.code, rounds)
+    span = np.flatnonzero(text.run >= min_len)
+    if not len(span):
+        return span, span, span, np.zeros(0, np.uint64)
+    n = len(text.code) + 1
+    lo = np.cumsum(np.bincount(begin + 1, minlength=n))[span + margin]
+    hi = np.cumsum(np.bincount(end, minlength=n))[span + min_len - margin] - 1
+    level = np.floor(np.log2(hi - lo + 1)).astype(np.int8)
+    least, pick = np.arange(len(name)), np.zeros(len(span), np.int64)
+    for k in range(int(level.max()) + 1):  # least: of 2^k symbols from each on, the first with the least name
+        at = np.flatnonzero(level == k)
+        a, b = least[lo[at]], least[hi[at] - (1 << k) + 1]
+        pick[at] = np.where(name[b] < name[a], b, a)
+        other = np.minimum(np.append(least[1 << k :], np.full(min(1 << k, len(least)), len(name) - 1)), len(name) - 1)
+        least = np.where(name[other] < name[least], other, least)
+    cut = np.flatnonzero(np.append(True, (np.diff(pick) != 0) | (np.diff(span) != 1)))
+    j = pick[cut]
+    flank = min(margin, WORD)
+    side = packed(text.code, flank)
+    wide = mix(mix(name[j] ^ side[begin[j] - flank], 97) ^ side[np.minimum(end[j], len(side) - 1)], 98) if flank else name[j]
+    return begin[j], span[cut], np.diff(np.append(cut, len(span))), wide
+
+
+def words(text: Text, first: np.ndarray, length: np.ndarray, most: int) -> np.ndarray:
+    """The stretches of ``length`` bases from ``first`` on, a row each: WORD bases a number, zeros after the end."""
+    full = packed(text.code, WORD)
+    out = np.zeros((len(first), -(-most // WORD)), np.uint64)
+    for w in range(out.shape[1]):
+        inside = np.clip(length - w * WORD, 0, WORD).astype(np.uint64)
+        some = inside > 0
+        mask = ~np.uint64(0) << (np.uint64(64) - np.uint64(2) * inside[some])
+        out[some, w] = full[first[some] + w * WORD] & mask
+    return out
+
+
+def fingerprint(at: np.ndarray, count: np.ndarray, stretch: np.ndarray) -> np.ndarray:
+    """64 bits of a stretch; with the 64 of its name they tell stretches apart."""
+    out = mix(at.astype(np.uint64) << np.uint64(32) | count.astype(np.uint64), 99)
+    for w in range(stretch.shape[1]):
+        out = mix(out ^ stretch[:, w], 100 + w)
+    return out
 
+
+def chunks(batches: Iterator[pa.RecordBatch], seq: int) -> Iterator[pa.Table]:
+    """Tables of about CHUNK bases."""
+    held, n = [], 0
     for b in batches:
-        piece = np.cumsum(pc.binary_length(b.column(seq)).to_numpy(zero_copy_only=False)) // CHUNK if b.num_rows else np.zeros(0, int)
-        cut = [0, *(np.flatnonzero(np.diff(piece)) + 1), b.num_rows]
-        for i, j in zip(cut, cut[1:], strict=False):
-            if j > i:
-                yield b.slice(i, j - i)
+        size = pc.fill_null(pc.binary_length(b.column(seq)), 0).to_numpy(zero_copy_only=False)
+        piece = (n + np.cumsum(size)) // CHUNK
+        for cut in np.split(np.arange(b.num_rows), np.flatnonzero(np.diff(piece)) + 1):
+            if len(cut):
+                held.append(b.slice(cut[0], len(cut)))
+                n += int(size[cut].sum())
+                if n >= CHUNK:
+                    yield pa.Table.from_batches(held)
+                    held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def several(groups: list[np.ndarray], lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """True where the rows that agree in all of ``groups`` have two members between them."""
+    out = np.zeros(len(lo), bool)
+    if len(out):
+        order = np.lexsort(groups)
+        new = np.append(True, np.any([g[order][1:] != g[order][:-1] for g in groups], axis=0))
+        i = np.flatnonzero(new)
+        out[order] = np.repeat(np.minimum.reduceat(lo[order], i) < np.maximum.reduceat(hi[order], i), np.diff(np.append(i, len(order))))
+    return out
 
 
-def _reveal(min_len: int):
-    rounds, _, radius = schedule(min_len)
+def ranks(*members: pa.ChunkedArray) -> list[np.ndarray]:
+    """Members of any type as whole numbers in one order."""
+    whole = pa.chunked_array([c for m in members for c in m.chunks], members[0].type).combine_chunks()
+    return np.split(pc.rank(whole, tiebreaker="dense").to_numpy().astype(np.int64), len(members))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _batches(batches, 2):
-            t = _Text(b.column(2).to_pylist())
-            at = parse(t.code, t.row, rounds)
-            left = at - radius
-            at = at[(left >= 0) & (t.run[np.maximum(left, 0)] >= max(1, 2 * radius))]
-            left = at - radius
-            key = np.zeros(len(at), np.uint64)
-            for k, part in enumerate(packed(t.code, 2 * radius)):
-                key = mix(key ^ part[left].view(np.uint64), k)
-            r = pa.array(t.row[at])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(r), b.column(1).take(r), pa.array((at - t.start[t.row[at]]).astype(np.int32)), pa.array(key.view(np.int64))], names=["rid", "member", "at", "key"])
 
-    return run
+class Symbols:
+    """The chosen symbols of rows (rid, member, seq), and the stretches that their spans cover."""
 
+    def __init__(self, t: pa.Table, min_len: int):
+        text = Text(t["seq"].to_pylist())
+        begin, first, count, self.name = chosen(text, min_len)
+        self.row, self.count, self.at = text.row[first], count, begin - first
+        self.first = first - text.start[self.row]
+        self.stretch = words(text, first, count - 1 + min_len, 2 * (min_len - schedule(min_len)[1]))
+        self.key = fingerprint(self.at, count, self.stretch)
 
-def _windows(min_len: int):
-    _, longest, radius = schedule(min_len)
+
+def _send(min_len: int):
+    """Each stretch of a chunk once, with the least and greatest member that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _batches(batches, 2):
-            t = _Text(b.column(2).to_pylist())
-            hits = b.column(3)
-            who = np.repeat(np.arange(b.num_rows), hits.value_lengths().to_numpy())
-            flat = hits.flatten().to_numpy().astype(np.int64) + t.start[who]
-            # starts whose boundary zone [start + radius, start + radius + longest] holds a revealed boundary
-            mark = np.zeros(len(t.code) + 1, np.int32)
-            np.add.at(mark, np.maximum(flat - radius - longest, t.start[who]), 1)
-            np.add.at(mark, np.maximum(flat - radius + 1, t.start[who]), -1)
-            start = np.flatnonzero((np.cumsum(mark)[:-1] > 0) & (t.run >= min_len))
-            row = t.row[start]
-            cols = [b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array((start - t.start[row]).astype(np.int32))]
-            keys = [pa.array(k[start]) for k in packed(t.code, min_len)]
-            yield pa.RecordBatch.from_arrays([*cols, *keys], names=["rid", "member", "start", *(f"k{i}" for i in range(len(keys)))])
+        for t in chunks(batches, 2):
+            s = Symbols(t, min_len)
+            if len(s.row):
+                body = pa.Array.from_buffers(pa.binary(s.stretch.shape[1] * 8), len(s.row), [None, pa.py_buffer(np.ascontiguousarray(s.stretch).tobytes())])
+                cols = {"name": pa.array(s.name.view(np.int64)), "at": pa.array(s.at.astype(np.int32)), "n": pa.array(s.count.astype(np.int32)), "body": body}
+                every = pa.table({**cols, "member": t["member"].combine_chunks().take(pa.array(s.row))})
+                one = every.group_by(list(cols)).aggregate([("member", "min"), ("member", "max")])
+                yield from one.set_column(3, "body", one["body"].cast(pa.binary())).rename_columns([*cols, "lo", "hi"]).to_batches()
 
     return run
 
 
-def _merge(min_len: int):
+def _own(min_len: int):
+    """Spans that two records of a chunk share, merged, with a null name; and the symbols that wait for others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
+        for t in chunks(batches, 2):
+            s = Symbols(t, min_len)
+            if not len(s.row):
                 continue
-            starts = b.column(1)
-            row = np.repeat(np.arange(b.num_rows), starts.value_lengths().to_numpy())
-            s = starts.flatten().to_numpy()
-            order = np.lexsort((s, row))
-            row, s = row[order], s[order].astype(np.int64)
-            new = np.append(True, (row[1:] != row[:-1]) | (np.diff(s) > min_len))
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(s)) - 1
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[first])), pa.array(s[first]), pa.array(s[last] + min_len - s[first])], names=["rid", "span_start", "span_len"])
+            rid, (member,) = t["rid"].to_numpy(), ranks(t["member"])
+            shared = several([s.key, s.name], member[s.row], member[s.row])
+            last = s.first + s.count - 1 + min_len
+            row, a, b = s.row[shared], s.first[shared], last[shared]
+            new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (a[1:] > b[:-1]))) if len(row) else row
+            end = np.append(new[1:], len(row))[: len(new)] - 1
+            none = pa.nulls(len(new), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(rid[row[new]]), pa.array(a[new]), pa.array(b[end]), none, none], names=["rid", "first", "end", "name", "key"])
+            cols = [pa.array(rid[s.row[~shared]]), pa.array(s.first[~shared]), pa.nulls(int((~shared).sum()), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(s.name[~shared].view(np.int64)), pa.array(s.key[~shared].view(np.int64))], names=["rid", "first", "end", "name", "key"])
 
     return run
 
 
+def _verify(min_len: int):
+    def bases(stretch: np.ndarray, row: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+        """The ``length`` (at most WORD) bases at a place of a stretch."""
+        w, shift = at // WORD, (2 * (at % WORD)).astype(np.uint64)
+        here = stretch[row, w] << shift
+        after = stretch[row, np.minimum(w + 1, stretch.shape[1] - 1)]
+        both = np.where(shift > 0, here | (after >> (np.uint64(64) - np.maximum(shift, np.uint64(1)))), here)
+        return both >> np.uint64(64 - 2 * length)
+
+    def run(t: pa.Table) -> pa.Table:
+        name, at, n = t["name"].to_numpy(), t["at"].to_numpy(), t["n"].to_numpy()
+        stretch = np.frombuffer(b"".join(t["body"].to_pylist()), np.uint64).reshape(t.num_rows, -1)
+        lo, hi = ranks(t["lo"], t["hi"])
+        some = np.flatnonzero(several([name], lo, hi))
+        # every span of the revealed symbols, from its place in the stretch
+        row = np.repeat(some, n[some])
+        place = np.arange(len(row)) - np.repeat(np.cumsum(n[some]) - n[some], n[some])
+        steps = [(d, WORD) for d in range(0, min_len - WORD + 1, WORD)]
+        if min_len % WORD:
+            steps.append((max(0, min_len - WORD), min(min_len, WORD)))
+        g = np.flatnonzero(several([bases(stretch, row, place + d, length) for d, length in steps], lo[row], hi[row]))
+        begins = np.flatnonzero(np.append(True, (np.diff(g) != 1) | (row[g[1:]] != row[g[:-1]]))) if len(g) else g
+        last = np.append(begins[1:], len(g))[: len(begins)] - 1
+        r = row[g[begins]]
+        cols = {"name": name[r], "key": fingerprint(at[r], n[r], stretch[r]).view(np.int64), "first": place[g[begins]], "last": place[g[last]]}
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in cols.items()})
+
+    return run
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if not b.num_rows:
+            continue
+        spans = b.column(1)
+        row = np.repeat(np.arange(b.num_rows), spans.value_lengths().to_numpy())
+        s, e = (spans.flatten().field(c).to_numpy() for c in ("first", "end"))
+        order = np.lexsort((s, row))
+        row, s, e = row[order], s[order], e[order]
+        # the greatest end so far within a row
+        reach = np.maximum.accumulate(e + row * (e.max() + 1)) - row * (e.max() + 1)
+        new = np.append(True, (row[1:] != row[:-1]) | (s[1:] > reach[:-1]))
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(s)) - 1
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[first])), pa.array(s[first]), pa.array(reach[last] - s[first])], names=["rid", "span_start", "span_len"])
+
+
 def shared_spans(df: DataFrame, group: str, member: str, seq: str, min_len: int = 48) -> DataFrame:
     """``(grp, member, span_start, span_len)``: merged spans of each distinct row that also
     occur in a row of another member, at any place and under any group.
@@ -197,18 +317,22 @@ def shared_spans(df: DataFrame, group: str, member: str, seq: str, min_len: int
     """
     scratch = Scratch(df.sparkSession, "spans")
     rows = df.select(F.col(group).alias("grp"), F.col(member).alias("member"), F.upper(seq).alias("seq")).where("member is not null and seq is not null")
-    rows = scratch.keep(rows.distinct().withColumn("rid", F.monotonically_increasing_id()))
+    # records of a group lie together, which lets a task combine what they share
+    rows = rows.repartitionByRange("grp", "member", F.xxhash64("seq")).sortWithinPartitions("grp", "member").withColumn("rid", F.monotonically_increasing_id())
+    rows = scratch.keep(rows)
     kind = rows.schema["member"].dataType.simpleString()
     here = rows.select("rid", "member", "seq")
-    anchors = here.mapInArrow(_reveal(min_len), f"rid long, member {kind}, at int, key long")
-    two = lambda d, by: d.groupBy(*by).agg(F.min("member").alias("lo"), F.max("member").alias("hi")).where("lo <> hi").select(*by)
-    revealed = anchors.join(two(anchors, ["key"]), "key", "left_semi").groupBy("rid").agg(F.collect_list("at").alias("hits"))
-    likely = scratch.keep(here.join(revealed, "rid"))  # a row's hits are at most its own length
-    keys = [f"k{i}" for i in range(-(-min_len // PER_KEY))]
-    spans = likely.mapInArrow(_windows(min_len), f"rid long, member {kind}, start int, " + ", ".join(f"{k} long" for k in keys))
-    verified = spans.join(two(spans, keys), keys, "left_semi").groupBy("rid").agg(F.collect_list("start").alias("starts"))
-    merged = verified.mapInArrow(_merge(min_len), "rid long, span_start long, span_len long")
-    return rows.join(merged, "rid").select("grp", "member", "span_start", "span_len")
+    own = scratch.keep(here.mapInArrow(_own(min_len), "rid long, first long, end long, name long, key long"))
+    sent = here.mapInArrow(_send(min_len), f"name long, at int, n int, body binary, lo {kind}, hi {kind}")
+    cells = max(1, rows.agg(F.sum(F.length("seq"))).first()[0] or 0) // (CELL * 16) + 1
+    sent = sent.withColumn("cell", F.pmod("name", F.lit(cells)))
+    verified = sent.groupBy("cell").applyInArrow(_verify(min_len), "name long, key long, first long, last long")
+    # of a stretch that many records have, one side has a row a run of spans: adaptive execution splits the other
+    others = own.where("name is not null").alias("o").join(verified.alias("v"), ["name", "key"]).select("rid", (F.col("o.first") + F.col("v.first")).alias("first"), (F.col("o.first") + F.col("v.last") + min_len).alias("end"))
+    every = own.where("name is null").select("rid", "first", "end").unionByName(others)
+    merged = every.groupBy("rid").agg(F.collect_list(F.struct("first", "end")).alias("spans")).mapInArrow(_merge, "rid long, span_start long, span_len long")  # a row's spans are at most its length
+    found = rows.select("rid", "grp", "member", F.xxhash64("seq").alias("content")).join(merged, "rid")
+    return found.select("grp", "member", "content", "span_start", "span_len").distinct().drop("content")
 
 
 def coverage(df: DataFrame, group: str, member: str, seq: str, min_len: int = 48) -> DataFrame:

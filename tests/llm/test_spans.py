@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from strandweave.llm.spans import coverage, parse, schedule, shared_spans
+from strandweave.llm.spans import coverage, packed, parse, schedule, shared_spans
 
 SCHEMA = "target_id long, read_id long, seq string, rid long, at int"
 
@@ -71,10 +71,11 @@ def test_empty_table(spark):
     assert found(spark, [], 48) == set()
 
 
-def test_equal_windows_share_a_central_boundary():
-    """Whatever stands around a window, its parse has the same boundaries near the middle."""
+def test_equal_spans_hold_the_same_symbols_and_choose_one():
+    """Whatever stands around a span, the symbols between its margins are the same."""
     rng = random.Random(3)
-    rounds, longest, radius = schedule(48)
+    rounds, margin, longest = schedule(48)
+    assert len(rounds) == 3 and 2 * margin + 2 * longest - 1 <= 48
     for trial in range(400):
         letters = rng.choice([4, 2, 1])
         w = [rng.randrange(letters) for _ in range(48)] if trial % 3 else ([rng.randrange(4) for _ in range(rng.randint(1, 5))] * 48)[:48]
@@ -82,6 +83,14 @@ def test_equal_windows_share_a_central_boundary():
         for _ in range(2):
             left = rng.choice([[rng.randrange(letters) for _ in range(40)], w[:1] * 40])
             code = np.array(left + w + [rng.randrange(letters) for _ in range(40)] + [4], np.uint8)
-            at = parse(code, np.zeros(len(code), int), rounds) - 40
-            inner.append({int(x) for x in at if radius <= x <= radius + longest})
+            inner.append({(int(b) - 40, int(e) - 40, int(n)) for b, e, n in zip(*parse(code, rounds), strict=True) if b - 40 >= margin and e - 40 <= 48 - margin})
         assert inner[0] == inner[1] and inner[0]
+
+
+def test_packed_bases():
+    rng = np.random.default_rng(5)
+    code = rng.integers(0, 4, 100).astype(np.uint8)
+    for length in (1, 5, 31, 32):
+        got = packed(code, length)
+        for i in (0, 17, 100 - length):
+            assert int(got[i]) == int("".join(map(str, code[i : i + length])), 4)
