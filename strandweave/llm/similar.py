@@ -1,16 +1,17 @@
 """Clusters of mutually similar aligned reads, by reciprocal nearest neighbours with average linkage.
 
-1. Equal sequences of a group are one node.  The nodes of a group are compared in blocks of bounded size by
-   matrix products; a block pair keeps the links at or above the similarity threshold that matter for
-   merging: each node's few nearest neighbours and a maximum spanning forest, so what is emitted grows with
-   the nodes, not with their pairs.
-2. On this sparse graph, rounds of Spark jobs merge all mutually best clusters at once.  The similarity of
-   two clusters is the average over the links between them, compared at a resolution, so that all clusters
-   that are equally near to a large one join it in one round; a cluster with a single neighbour joins it
-   without delay, since no other merge is open to it.  Clusters without a link at the threshold stop.
-   As every link kept is at the threshold or above, so is every average, and merging ends when each cluster
-   holds all that is joined by similarity, directly or through others.
-3. A cluster is described by its centre (the most frequent base of each column), its size and the members
+1. Equal sequences of a group are one node.  The nodes of a group are dealt to blocks of bounded size.  A task
+   compares a block by matrix products and merges in rounds: in each, all pairs of clusters that are each
+   other's nearest, and whose average similarity is at the threshold, are merged.  The average is over all
+   pairs of their nodes that have a common column, and only clusters with a link (two similar nodes) are
+   neighbours in the sparse graph.
+2. Where a group has several blocks, the clusters of any two of them are compared likewise; what leaves a task
+   is a row for each pair of clusters with a link, with the sum of all similarities between them and their
+   number.  On this graph rounds of Spark jobs merge all mutually nearest clusters at once.
+3. Merging stops where no average is at the threshold.  The wanted clusters are all that links join, directly or
+   through others, so further rounds by the same rule, without the threshold, then close them; the averages
+   decide in which order clusters merge, never whether a link is lost.
+4. A cluster is described by its centre (the most frequent base of each column), its size and the members
    that differ least from the centre.
 """
 
@@ -21,6 +22,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,12 +30,8 @@ from strandweave.scratch import Scratch
 
 #: Nodes of a block; two blocks are compared at a time.
 BLOCK = 1024
-#: Nearest neighbours that a node keeps in each block pair beside the spanning forest.
-NEAREST = 3
 #: Nodes that share a task's group where groups are small.
 CELL = 4096
-#: Similarities that round to the same multiple of this are equal when the best one is chosen.
-RESOLUTION = 0.01
 #: Columns that are compared at a time.
 COLUMNS = 512
 #: Parts in which the members of a cluster are ranked before the best of all parts are.
@@ -61,122 +59,139 @@ def similarity(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return shared, agree
 
 
-def _forest(sim: np.ndarray, two: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Ends of a maximum spanning forest of the links in ``sim``, -1 where there is none.
+def compared(x: np.ndarray, y: np.ndarray, most: Fraction) -> np.ndarray:
+    """Of every pair: its similarity, 1 if it has one, and 1 if it is a link."""
+    shared, agree = similarity(x, y)
+    link = (shared > 0) & ((shared - agree) * most.denominator <= shared * most.numerator)
+    return np.stack([agree / np.maximum(shared, 1), shared > 0, link]).astype(np.float64)
+
+
+def summed(pairs: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``pairs`` added up by the cluster of their row and column, clusters numbered from 0 without a gap."""
+    for axis, c in ((1, a), (2, b)):
+        order = np.argsort(c, kind="stable")
+        pairs = np.add.reduceat(np.take(pairs, order, axis=axis), np.flatnonzero(np.append(True, np.diff(c[order]) != 0)), axis=axis)
+    return pairs
 
-    ``two``: the rows are one set of nodes and the columns another, numbered after the rows; otherwise
-    rows and columns are the same nodes.
+
+def merged(pairs: np.ndarray, least: float) -> np.ndarray:
+    """The cluster of each node of one block, after rounds that merge all mutually nearest clusters.
+
+    ``pairs`` as of :func:`compared`.  The rounds end without an average of at least ``least``, then go on
+    without this limit until no link is left.
     """
-    rows, n = len(sim), len(sim) + (sim.shape[1] if two else 0)
-    best, via = np.full(n, -2.0, np.float32), np.full(n, -1)
-    open_ = best.copy()  # best, but -3 for nodes that are in the forest
-    a, b = [], []
-    for _ in range(n):
-        v = int(np.argmax(open_))
-        if best[v] > -1:
-            a.append(via[v])
-            b.append(v)
-        best[v] = np.inf
-        open_[v] = -3
-        if two and v < rows:
-            part, near = slice(rows, n), sim[v]
-        elif two:
-            part, near = slice(0, rows), sim[:, v - rows]
-        else:
-            part, near = slice(0, n), sim[v]
-        better = near > np.maximum(best[part], -1)
-        via[part][better] = v
-        best[part][better] = near[better]
-        open_[part][better] = near[better]
-    return np.array(a, int), np.array(b, int)
-
-
-def _near(sim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of each row's NEAREST links."""
-    if sim.shape[1] <= NEAREST:
-        return np.nonzero(sim >= 0)
-    at = np.argpartition(-sim, NEAREST - 1, axis=1)[:, :NEAREST]
-    i, j = np.repeat(np.arange(len(sim)), NEAREST), at.ravel()
-    keep = sim[i, j] >= 0
-    return i[keep], j[keep]
-
-
-def links(ids: np.ndarray, codes: np.ndarray, block: np.ndarray, most: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of one block, or between two blocks: their ends and similarity."""
-    first = block == block.min()
-    two = not first.all()
-    x, y = (codes[first], codes[~first]) if two else (codes, codes)
-    if two:
-        ids = np.concatenate([ids[first], ids[~first]])
-    shared, agree = similarity(x, y)
-    ok = (shared > 0) & ((shared - agree) * most.denominator <= shared * most.numerator)
-    if not two:
-        np.fill_diagonal(ok, False)
-    sim = np.where(ok, agree / np.maximum(shared, 1), -1).astype(np.float32)
-    a, b = _forest(sim, two)
-    i, j = _near(sim)
-    shift = len(x) if two else 0
-    a, b = np.append(a, i), np.append(b, j + shift)
-    if two:
-        j, i = _near(sim.T)
-        a, b = np.append(a, i), np.append(b, j + shift)
-        flip = a > b
-        a, b = np.where(flip, b, a), np.where(flip, a, b)
-    s = sim[a, b - shift].astype(float)
-    return np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), s
-
-
-def _compare(most: Fraction):
+    n = pairs.shape[1]
+    ids, cluster = np.arange(n), np.arange(n)
+    mean = lambda p: np.where(p[2] > 0, p[0] / np.maximum(p[1], 1), -2.0)
+    near = mean(pairs)
+    np.fill_diagonal(near, -2.0)
+    for limit in (least, -1.0):
+        while True:
+            here = np.arange(len(near))
+            best = np.argmax(near, axis=1)  # of equal ones the first, so the greatest average is always mutual
+            go = np.flatnonzero((best[best] == here) & (here > best) & (near[here, best] >= limit))
+            if not len(go):
+                break
+            for x in go:
+                y = best[x]
+                pairs[:, y] += pairs[:, x]
+                pairs[:, :, y] += pairs[:, :, x]
+                cluster[cluster == ids[x]] = ids[y]
+            to = best[go]
+            near[to] = mean(pairs[:, to])
+            near[:, to] = near[to].T
+            near[go] = near[:, go] = -2.0
+            near[to, to] = -2.0
+            pairs[2, go] = pairs[2, :, go] = 0
+            live = np.flatnonzero(near.max(axis=1) > -2.0)
+            if 2 * len(live) <= len(near):  # clusters without neighbours are done
+                ids, near, pairs = ids[live], near[np.ix_(live, live)], pairs[:, live[:, None], live]
+            if not len(near):
+                return np.unique(cluster, return_inverse=True)[1]
+    return np.unique(cluster, return_inverse=True)[1]
+
+
+def _blocks(t: pa.Table, *keys: str) -> Iterator[np.ndarray]:
+    """Row numbers of each group of rows that agree in ``keys``, within a task."""
+    codes = np.stack([t[k].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False) for k in keys])
+    order = np.lexsort(codes)
+    cut = np.flatnonzero(np.any(np.diff(codes[:, order], axis=1) != 0, axis=0)) + 1
+    return np.split(order, cut)
+
+
+def _within(most: Fraction):
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("grp", "ascending"), ("i", "ascending"), ("j", "ascending"), ("node", "ascending")])
-        grp, i, j = (t[c].to_numpy() for c in ("grp", "i", "j"))
-        ids, block, seqs = t["node"].to_numpy(), t["block"].to_numpy(), t["seq"].to_pylist()
-        cut = np.flatnonzero((grp[1:] != grp[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        out = []
-        for x, y in zip([0, *cut], [*cut, len(ids)], strict=True):
-            if y - x > 1:
-                out.append(links(ids[x:y], _codes(seqs[x:y]), block[x:y], most))
-        lo, hi, s = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"a": pa.array(lo, pa.int64()), "b": pa.array(hi, pa.int64()), "s": pa.array(s, pa.float64())})
+        """With ``label``, the least head in each node's cluster, block by block."""
+        heads = t["head"].combine_chunks()
+        rank = pc.rank(heads, tiebreaker="dense").to_numpy().astype(np.int64)
+        place = np.zeros(rank.max(initial=0) + 1, np.int64)
+        place[rank] = label = np.arange(t.num_rows)
+        seqs = t["seq"].to_pylist()
+        for at in _blocks(t, "grp", "block"):
+            if len(at) > 1:
+                x = _codes([seqs[i] for i in at])
+                cluster = merged(compared(x, x, most), 1 - float(most))
+                first = np.full(len(at), len(place))
+                np.minimum.at(first, cluster, rank[at])
+                label[at] = place[first[cluster]]
+        t = t.append_column("label", heads.take(pa.array(label)))
+        # only groups of several blocks are compared again
+        return t.set_column(t.column_names.index("seq"), "seq", pc.if_else(pc.greater(t["blocks"], 1), t["seq"], None))
 
     return run
 
 
-def sparse_links(nodes: DataFrame, most: Fraction) -> DataFrame:
-    """``(a, b, s)``, a < b: kept links between the nodes ``(grp, node, seq)``."""
-    sizes = nodes.groupBy("grp").agg(F.count("*").alias("n"), F.lit(0).alias("z")).select("grp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    total = nodes.count()
-    cells = max(1, total // CELL)
-    # a group of many nodes is one row of ``sizes``: adaptive execution splits the other side
-    placed = nodes.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("seq"), F.col("blocks")).cast("int"))
-    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "grp", "node", "seq", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("grp"), F.lit(cells))).otherwise(F.xxhash64("grp", F.least("block", "other"), F.greatest("block", "other"))).alias("cell"),
-    )
-    # a given number of partitions is not merged by size: comparing takes far more time than its bytes suggest
-    pairs = pairs.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell")
-    return pairs.groupBy("cell").applyInArrow(_compare(most), "a long, b long, s double").distinct()
+def _between(most: Fraction):
+    def run(t: pa.Table) -> pa.Table:
+        """Of two blocks of a group every pair of clusters with a link, and all similarities between them."""
+        seqs, block = t["seq"].to_pylist(), t["block"].to_numpy()
+        label = t["label"].combine_chunks()
+        out = {"grp": [], "a": [], "b": [], "s": [], "n": []}
+        for at in _blocks(t, "grp", "i", "j"):
+            one, two = at[block[at] == block[at].min()], at[block[at] != block[at].min()]
+            if len(two):
+                (ca, a), (cb, b) = ((d.dictionary, d.indices.to_numpy(zero_copy_only=False)) for d in (label.take(pa.array(i)).dictionary_encode() for i in (one, two)))
+                s, n, link = summed(compared(_codes([seqs[i] for i in one]), _codes([seqs[i] for i in two]), most), a, b)
+                x, y = np.nonzero(link)
+                out["grp"] += [t["grp"][int(at[0])].as_py()] * len(x)
+                out["a"] += ca.take(pa.array(x)).to_pylist()
+                out["b"] += cb.take(pa.array(y)).to_pylist()
+                out["s"] += s[x, y].tolist()
+                out["n"] += n[x, y].astype(np.int64).tolist()
+        kinds = {"grp": t.schema.field("grp").type, "a": label.type, "b": label.type, "s": pa.float64(), "n": pa.int64()}
+        return pa.table({c: pa.array(v, kinds[c]) for c, v in out.items()})
+
+    return run
+
 
+def merge_rounds(edges: DataFrame, scratch: Scratch, least: float, max_rounds: int = 200) -> DataFrame | None:
+    """``(grp, node, cluster)`` of every node that is merged into another one, by rounds of mutual best pairs.
 
-def merge_rounds(edges: DataFrame, scratch: Scratch, max_rounds: int = 200) -> DataFrame | None:
-    """``(node, cluster)`` of every node that is merged into another one, by rounds of mutual best pairs."""
-    state = scratch.keep(edges.groupBy("a", "b").agg(F.sum("s").alias("s"), F.count("*").alias("n")))
+    ``edges`` are ``(grp, a, b, s, n)``, the sum and number of similarities between neighbours.  Averages below
+    ``least`` merge only once none is left above it.
+    """
+    tidy = lambda d: d.where("a != b").groupBy("grp", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    state = scratch.keep(tidy(edges))
     maps: list[DataFrame] = []
+    limit = least
     for _ in range(max_rounds):
         if state.isEmpty():
             break
-        level = F.round(F.col("s") / F.col("n") / RESOLUTION).cast("int")
-        ends = state.select(level.alias("level"), F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e"))
-        best = ends.groupBy("e.x").agg(F.max(F.struct("level", "e.y")).alias("m"), F.count("*").alias("links")).select("x", "m.level", F.col("m.y").alias("y"), "links")
-        other = best.select(F.col("x").alias("y"), F.col("level").alias("its_level"), F.col("y").alias("its_y"))
-        # y stays in this round if its own choice has a smaller number; x goes to it if they choose each other
-        # at one level, the smaller number to the greater, or if x has no other choice
-        go = (F.col("its_y") < F.col("y")) & ((F.col("level") == F.col("its_level")) & (F.col("x") < F.col("y")) | (F.col("links") == 1))
-        moved = scratch.keep(best.join(other, "y").where(go).select(F.col("x").alias("node"), F.col("y").alias("cluster")))
+        ends = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"))))
+        each = state.select("grp", (-F.col("s") / F.col("n")).alias("far"), ends.alias("e"))
+        # of equally near neighbours the least, so the greatest average is always mutual
+        best = each.groupBy("grp", "e.x").agg(F.min(F.struct("far", "e.y")).alias("m")).select("grp", "x", "m.y", "m.far")
+        other = best.select("grp", F.col("x").alias("y"), F.col("y").alias("x"))
+        go = best.join(other, ["grp", "x", "y"]).where((F.col("y") < F.col("x")) & (F.col("far") <= -limit))
+        moved = scratch.keep(go.select("grp", F.col("x").alias("node"), F.col("y").alias("cluster")))
+        if moved.isEmpty():
+            limit = -1.0
+            continue
         maps.append(moved)
-        to_a, to_b = moved.select(F.col("node").alias("a"), F.col("cluster").alias("ca")), moved.select(F.col("node").alias("b"), F.col("cluster").alias("cb"))
-        new = state.join(to_a, "a", "left").join(to_b, "b", "left").select(F.coalesce("ca", "a").alias("p"), F.coalesce("cb", "b").alias("q"), "s", "n").where("p != q")
-        nxt = scratch.keep(new.groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
+        nxt = state
+        for c in ("a", "b"):
+            nxt = nxt.join(moved.select("grp", F.col("node").alias(c), F.col("cluster").alias("_to")), ["grp", c], "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
+        nxt = scratch.keep(tidy(nxt))
         scratch.drop(state)
         state = nxt
     else:
@@ -184,13 +199,11 @@ def merge_rounds(edges: DataFrame, scratch: Scratch, max_rounds: int = 200) -> D
     # from the last round back: a node's cluster is where its cluster went later
     whole = None
     for moved in reversed(maps):
-        if whole is None:
-            whole = moved
-            continue
-        later = whole.select(F.col("node").alias("cluster"), F.col("cluster").alias("then"))
-        step = moved.join(later, "cluster", "left").select("node", F.coalesce("then", "cluster").alias("cluster"))
-        nxt = scratch.keep(step.unionByName(whole))
-        whole = nxt
+        if whole is not None:
+            later = whole.select("grp", F.col("node").alias("cluster"), F.col("cluster").alias("then"))
+            step = moved.join(later, ["grp", "cluster"], "left").select("grp", "node", F.coalesce("then", "cluster").alias("cluster"))
+            moved = scratch.keep(step.unionByName(whole))
+        whole = moved
     return whole
 
 
@@ -199,23 +212,42 @@ def clusters(df: DataFrame, group: str, member: str, seq: str, most_differ: floa
 
     Two members of one group are similar if they differ in at most ``most_differ`` of the columns in which
     both show A, C, G or T, in either case; members without a common column are not.  ``cluster`` is the
-    same number for all members of one group that are joined by similarity.  Rows with a null sequence,
+    same member for all members of one group that are joined by similarity.  Rows with a null sequence,
     group or member are left out, repeated rows count once, a member with several sequences is joined with
     itself, an empty or all-gap sequence is a cluster of its own, shorter ones are filled up with gaps; an
     empty table gives no rows; only the three named columns are read.
     """
-    spark = df.sparkSession
+    spark, most = df.sparkSession, Fraction(str(most_differ))
     scratch = Scratch(spark, "similar")
     rows = df.select(F.col(group).alias("grp"), F.col(member).alias("member"), F.upper(seq).alias("seq")).where("grp is not null and member is not null and seq is not null")
-    rows = scratch.keep(rows.distinct().withColumn("node", F.xxhash64("grp", "seq")))
-    nodes = rows.select("grp", "node", "seq").distinct()
-    found = sparse_links(nodes, Fraction(str(most_differ)))
-    own = rows.groupBy("grp", "member").agg(F.min("node").alias("a"), F.max("node").alias("hi")).where("a != hi")
-    same = rows.join(own, ["grp", "member"]).where("node != a").select("a", F.col("node").alias("b"), F.lit(1.0).alias("s"))
-    moved = merge_rounds(found.unionByName(same), scratch)
+    # within a group 128 bits stand for a sequence
+    rows = scratch.keep(rows.distinct().withColumns({"h1": F.xxhash64("seq"), "h2": F.xxhash64(F.lit(1), "seq")}))
+    node = ["grp", "h1", "h2"]
+    nodes = scratch.keep(rows.groupBy(*node).agg(F.min("member").alias("head"), F.first("seq").alias("seq")))
+    sizes = nodes.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # a group of many nodes is one row of ``sizes``: adaptive execution splits the other side
+    placed = nodes.join(sizes, "grp").withColumn("block", F.pmod("h1", F.col("blocks")).cast("int"))
+    cells = max(1, nodes.count() // CELL)
+    cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("grp"), F.lit(cells))).otherwise(F.xxhash64("grp", "block"))
+    # a given number of partitions is not merged by size: comparing takes far more time than its bytes suggest
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("grp", "member")}
+    schema = f"grp {kinds['grp']}, h1 long, h2 long, head {kinds['member']}, seq string, block int, blocks int, label {kinds['member']}"
+    placed = placed.select("grp", "h1", "h2", "head", "seq", "block", "blocks", cell.alias("cell")).repartition(n, "cell")
+    found = scratch.keep(placed.groupBy("cell").applyInArrow(lambda t: _within(most)(t.drop_columns(["cell"])), schema))
+    pairs = found.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other != block")
+    pairs = pairs.select("grp", "label", "seq", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    pairs = pairs.withColumn("cell", F.xxhash64("grp", "i", "j")).repartition(n, "cell")
+    edges = pairs.groupBy("cell").applyInArrow(_between(most), f"grp {kinds['grp']}, a {kinds['member']}, b {kinds['member']}, s double, n long")
+    labels = found.select(*node, "label")
+    several = rows.groupBy("grp", "member").agg(F.count("*").alias("m")).where("m > 1").select("grp", "member")
+    own = rows.join(several, ["grp", "member"], "left_semi").join(labels, node).groupBy("grp", "member").agg(F.min("label").alias("a"), F.collect_set("label").alias("bs"))  # one member's sequences
+    own = own.select("grp", "a", F.explode("bs").alias("b"), F.lit(1.0).alias("s"), F.lit(1).cast("long").alias("n"))
+    moved = merge_rounds(edges.unionByName(own), scratch, 1 - float(most))
+    out = rows.join(labels, node).select("grp", "member", "seq", "label")
     if moved is None:
-        return rows.select("grp", "member", "seq", F.col("node").alias("cluster"))
-    return rows.join(moved, "node", "left").select("grp", "member", "seq", F.coalesce("cluster", "node").alias("cluster"))
+        return out.withColumnRenamed("label", "cluster")
+    return out.join(moved.withColumnRenamed("node", "label"), ["grp", "label"], "left").select("grp", "member", "seq", F.coalesce("cluster", "label").alias("cluster"))
 
 
 def membership(found: DataFrame, least: int = 2) -> DataFrame:

@@ -1,9 +1,11 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
+from fractions import Fraction
 
+import numpy as np
 import pytest
 
-from strandweave.llm import similar
+from strandweave.llm import queries, similar
 from strandweave.llm.similar import clusters, described, membership
 
 SCHEMA = "target_id long, read_id long, seq string, node long, cluster string"
@@ -40,10 +42,9 @@ def noisy(rng, s, share):
     return "".join(rng.choice("ACGTN_acgt") if rng.random() < share else c for c in s)
 
 
-@pytest.mark.parametrize("block,nearest", [(1024, 3), (7, 1)])
-def test_against_brute_force(spark, monkeypatch, block, nearest):
+@pytest.mark.parametrize("block", [1024, 7])
+def test_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(similar, "BLOCK", block)
-    monkeypatch.setattr(similar, "NEAREST", nearest)
     rng = random.Random(block)
     rows = []
     for t in range(5):
@@ -73,5 +74,67 @@ def test_description(spark):
     assert got == {(1, 0): (4, "ACGTACGTACGT", [0, 1]), (1, 9): (1, "T" * 12, [9]), (2, 4): (1, "__", [4])}
 
 
+def average_linkage(sim, least):
+    """Merges one mutually nearest pair after the other, each average computed anew from all pairs."""
+    groups = [[i] for i in range(len(sim[0]))]
+    while True:
+        means = {}
+        for i, a in enumerate(groups):
+            for j, b in enumerate(groups[:i]):
+                at = np.ix_(a, b)
+                if sim[2][at].any():
+                    means[j, i] = sim[0][at].sum() / sim[1][at].sum()
+        pair = max(means, key=means.get, default=None)
+        if pair is None or means[pair] < least:
+            return {frozenset(g) for g in groups}
+        groups[pair[0]] += groups.pop(pair[1])
+
+
+def test_rounds_are_average_linkage():
+    """Mutually nearest pairs merged at once give what merging the nearest pair of all gives."""
+    rng = np.random.default_rng(4)
+    for size in (2, 9, 30):
+        seeds = rng.integers(0, 4, (3, 80))
+        x = seeds[rng.integers(0, 3, size)]
+        noise = rng.random(x.shape)
+        x = np.where(noise < 0.04, rng.integers(0, 4, x.shape), x)
+        x = np.where(rng.random(x.shape) < 0.1, 4, x).astype(np.uint8)
+        sim = similar.compared(x, x, Fraction("0.1"))
+        np.einsum("kii->ki", sim)[:] = 0
+        want = average_linkage(sim, 0.9)
+        rounds = similar.merged(sim.copy(), 0.9)
+        # closing the clusters joins whole ones only
+        assert all(len({int(rounds[i]) for i in g}) == 1 for g in want)
+        linked = {frozenset(g) for g in average_linkage(sim, -1)}
+        assert {frozenset(np.flatnonzero(rounds == c).tolist()) for c in set(rounds.tolist())} == linked
+
+
+def test_clusters_of_the_test_tables(spark, sf):
+    """Every cluster's size, centre and most typical reads, by brute force."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/brothers.parquet").select("target_id", "read_id", "seq").collect()]
+    groups = defaultdict(set)
+    for t, first, r in brute(rows):
+        groups[t, first].add(r)
+    seqs = {(t, r, s.upper()) for t, r, s in rows if None not in (t, r, s)}
+    for t, r, _ in seqs:
+        if not any(r in g for (u, _), g in groups.items() if u == t):
+            groups[t, r] = {r}
+    got = {(r.target_id, r.first_read): r for r in queries.p5_clusters(spark, sf).collect()}
+    assert set(got) == set(groups)
+    for (t, first), ids in groups.items():
+        own = [(r, s) for u, r, s in seqs if u == t and r in ids]
+        width = max(len(s) for _, s in own)
+        center = ""
+        for c in range(width):
+            n = Counter(s[c : c + 1] for _, s in own if s[c : c + 1] in set("ACGT"))
+            center += min(n, key=lambda b: (-n[b], b)) if n else "_"
+        differ = defaultdict(lambda: width)
+        for r, s in own:
+            differ[r] = min(differ[r], sum(a != b for a, b in zip(s, center, strict=False) if a in "ACGT" and b in "ACGT"))
+        row = got[t, first]
+        assert (row["size"], row.center) == (len(ids), center)
+        assert row.typical == sorted(ids, key=lambda r: (differ[r], r))[:3]
+
+
 def test_empty_table(spark):
     assert found(spark, []) == set()
