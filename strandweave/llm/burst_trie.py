@@ -7,7 +7,7 @@ the sorted terms.  Terms are inserted, and tries merged, in whole sorted columns
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -148,13 +148,18 @@ def unpack(shared: bytes, rest: bytes, data: bytes, occurrences: bytes, records:
 
 
 def cut(t: pa.Table, bounds: list[bytes]) -> Iterator[tuple[int, pa.Table]]:
-    """Slices of sorted terms by leaf number: leaf i holds the terms from bounds[i] on, up to bounds[i + 1]."""
-    col = t["term"]
-    ids = range(t.num_rows)
-    at = [0]
-    for b in bounds[1:]:
-        at.append(bisect_left(ids, b, lo=at[-1], key=lambda i: col[i].as_py()))
-    at.append(t.num_rows)
-    for leaf in range(len(bounds)):
-        if at[leaf + 1] > at[leaf]:
-            yield leaf, t.slice(at[leaf], at[leaf + 1] - at[leaf])
+    """Slices of sorted terms by leaf number: leaf i holds the terms from bounds[i] on, up to bounds[i + 1].
+
+    Only the bounds between the first and the last term are looked at, however many there are.
+    """
+    if not t.num_rows:
+        return
+    off, data = flat(t["term"])
+    term = lambda i: data[off[i] : off[i + 1]].tobytes()
+    first, last = (bisect_right(bounds, term(i)) - 1 for i in (0, t.num_rows - 1))
+    at = 0
+    for leaf in range(first, last + 1):
+        end = bisect_left(range(t.num_rows), bounds[leaf + 1], lo=at, key=term) if leaf < last else t.num_rows
+        if end > at:
+            yield leaf, t.slice(at, end - at)
+        at = end

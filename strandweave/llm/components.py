@@ -35,7 +35,8 @@ def groups(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
         before = tuple(now)
         least = state.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("m"))
         # a vertex with very many members is one row of ``least``: adaptive execution splits its other side
-        sent = state.join(least, "v").select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct(F.col("m").alias("v"), F.col("v").alias("u")), F.struct(F.col("v"), F.col("m").alias("u")))).alias("e"))
+        pair = lambda x: F.explode(F.array(F.struct(F.col("m").alias("v"), F.col(x).alias("u")), F.struct(F.col(x).alias("v"), F.col("m").alias("u")))).alias("e")
+        sent = state.join(least, "v").select(pair("u")).unionByName(least.select(pair("v")))
         nxt = scratch.keep(sent.select("e.v", "e.u").where("v != u").distinct())
         scratch.drop(state)
         state = nxt

@@ -73,33 +73,43 @@ def _merge(t: pa.Table) -> pa.Table:
     return out.set_column(0, "term", pc.cast(pc.cast(out["term"], pa.large_string()), pa.string()))
 
 
-def term_counts(df: DataFrame, term: str, record: str, leaves: int | None = None) -> DataFrame:
-    """``(term, occurrences, records)``: rows of every distinct term and its distinct non-null records.
+def _pairs(df: DataFrame, term: str, record: str) -> DataFrame:
+    """``(term, record, n)``: each distinct pair and its rows."""
+    rows = df.select(F.col(term).alias("term"), F.col(record).alias("record")).where(F.col("term").isNotNull())
+    return rows.groupBy("term", "record").agg(F.count("*").alias("n"))
 
-    Null terms are left out; an empty term is a term; terms of any length are counted whole; a null record
-    adds an occurrence but no record; repeated rows are occurrences; an empty table gives no rows.  Only the
-    two named columns are read, so further columns may have any name.  ``leaves`` is the number of prefixes,
-    by default four a shuffle partition.
-    """
+
+def _counts(df: DataFrame, pairs: DataFrame, term: str, leaves: int | None) -> DataFrame:
     spark = df.sparkSession
     leaves = leaves or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.col(term).alias("term"), F.col(record).alias("record")).where(F.col("term").isNotNull())
-    n = rows.count()
-    few = rows.select(F.substring("term", 1, 256)).sample(min(1.0, PLAN_TERMS / max(n, 1)), seed=7).distinct().limit(2 * PLAN_TERMS)
+    n = df.count()  # from file metadata where the source has it
+    few = df.select(F.substring(term, 1, 256).alias("term")).where("term is not null").sample(min(1.0, PLAN_TERMS / max(n, 1)), seed=7).distinct().limit(2 * PLAN_TERMS)
     bounds = prefixes([r[0].encode() for r in few.collect()], leaves)
-    pairs = rows.groupBy("term", "record").agg(F.count("*").alias("n"))
     trees = pairs.select("term", F.col("record").isNotNull().cast("long").alias("one"), "n").mapInArrow(
         _grow(bounds), "leaf int, shared binary, rest binary, bytes binary, occurrences binary, records binary"
     )
     return trees.groupBy("leaf").applyInArrow(_merge, "term string, occurrences long, records long")
 
 
+def term_counts(df: DataFrame, term: str, record: str, leaves: int | None = None) -> DataFrame:
+    """``(term, occurrences, records)``: rows of every distinct term and its distinct non-null records.
+
+    Null terms are left out; an empty term is a term; terms of any length are counted whole; a null record
+    adds an occurrence but no record; repeated rows are occurrences; an empty table gives no rows.  Only the
+    two named columns are read, so further columns may have any name.  ``leaves`` is the number of prefixes,
+    by default four a shuffle partition.
+    """
+    return _counts(df, _pairs(df, term, record), term, leaves)
+
+
 def marked(df: DataFrame, term: str, record: str, common: float = 0.01, least: int = 2) -> DataFrame:
     """:func:`term_counts` with ``mark``: ``common`` from the share ``common`` of all records on, ``rare``
     below ``least`` records, else null.  All records are those of rows with a term; without any record no
     term is common."""
-    counts = term_counts(df, term, record)
-    total = df.where(F.col(term).isNotNull() & F.col(record).isNotNull()).agg(F.countDistinct(record)).first()[0]
+    pairs = _pairs(df, term, record)
+    # the shuffle of the pairs is the same as that of the counts and is reused; ``n`` keeps its columns the same
+    total = pairs.agg(F.countDistinct(F.when(F.col("n") > 0, F.col("record"))).alias("total"))
+    counts = _counts(df, pairs, term, None)
     part = Fraction(str(common))
-    often = (F.col("records") > 0) & (F.col("records") * part.denominator >= F.lit(part.numerator * total))
-    return counts.withColumn("mark", F.when(often, "common").when(F.col("records") < least, "rare"))
+    often = (F.col("records") > 0) & (F.col("records") * part.denominator >= F.col("total") * part.numerator)
+    return counts.withColumn("total", total.scalar()).withColumn("mark", F.when(often, "common").when(F.col("records") < least, "rare")).drop("total")

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +24,15 @@ from pyspark.sql import types as T
 from strandweave.scratch import Scratch
 
 SIZE = 0x110000
-#: Letters of Cyrillic, Greek, Armenian and other scripts drawn like a Latin one, and that one.
+#: Letters of Cyrillic, Greek, Armenian, Cherokee, Lisu and Coptic drawn like a Latin one, and that one.
 ALIKE = {
     "а": "a", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "с": "c", "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y", "ү": "y",
     "А": "A", "В": "B", "Е": "E", "Ԍ": "G", "Н": "H", "І": "I", "Ӏ": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ԛ": "Q", "С": "C", "Ѕ": "S", "Т": "T", "Ѵ": "V", "Ԝ": "W", "Х": "X", "Ү": "Y",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ρ": "p", "ϲ": "c", "Ϲ": "C", "ϳ": "j", "µ": "μ",
     "օ": "o", "ո": "n", "ս": "u", "հ": "h", "Օ": "O", "Ս": "U", "Տ": "S", "ⅼ": "l", "ⅰ": "i", "ⅴ": "v", "ⅹ": "x", "ⅽ": "c", "ⅾ": "d", "ⅿ": "m", "Ⅰ": "I", "Ⅴ": "V", "Ⅹ": "X", "Ⅼ": "L", "Ⅽ": "C", "Ⅾ": "D", "Ⅿ": "M", "ɡ": "g", "ɑ": "a",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮍ": "Y", "Ꮓ": "Z",
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    "Ⲃ": "B", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲭ": "X", "ⲟ": "o", "ⲣ": "p", "ⲥ": "c",
 }
 #: Format characters that are seen, and characters of other categories that are not.
 SEEN = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD}
@@ -102,6 +106,12 @@ class Tables:
         self.tail[self.keys & 0x1FFFFF] = True
 
 
+@cache
+def tables() -> Tables:
+    """The tables of this process, built once."""
+    return Tables()
+
+
 def fold(cp: np.ndarray, row: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray]:
     """The one form of code points ``cp`` that belong to the rows ``row`` (ascending)."""
     cr = cp == 13
@@ -204,31 +214,49 @@ def one_form(df: DataFrame, text: str, out: str = "shown") -> DataFrame:
     A null text stays null, an empty one empty, one of characters without any look becomes empty; texts of
     any length are folded whole.  The tables are broadcast: their size is that of Unicode.
     """
-    tables = df.sparkSession.sparkContext.broadcast(Tables())
+    sent = df.sparkSession.sparkContext.broadcast(tables())
     rest = [c for c in df.columns if c != out]
     schema = T.StructType([f for f in df.schema.fields if f.name != out] + [T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            folded = fold_column(b.column(b.schema.get_field_index(text)), tables.value)
+            folded = fold_column(b.column(b.schema.get_field_index(text)), sent.value)
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in rest), folded], names=[*rest, out])
 
     return df.mapInArrow(run, schema)
 
 
+def _classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(k, form, stored, links, n)``: rows that show something with fingerprints (128 bits) of their form and stored
+    text, the number of rows that look the same but differ, and of those with the same text."""
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull())
+    shown = one_form(rows, "t", "s").where(F.length(F.regexp_replace("s", r"\s", "")) > 0)
+    marks = Scratch(df.sparkSession, "look").keep(shown.select("k", F.md5("s").alias("form"), F.md5("t").alias("stored")))
+    texts = marks.groupBy("form", "stored").agg(F.count("*").alias("n"), F.min("k").alias("same"))
+    forms = texts.groupBy("form").agg(F.sum("n").alias("of_form"), F.min("same").alias("look"))
+    # a text or form of very many rows is one row of ``texts`` and ``forms``: adaptive execution splits the other side
+    each = texts.join(forms, "form").select("form", "stored", "n", "same", "look", (F.col("of_form") - F.col("n")).alias("links"))
+    return marks.join(each, ["form", "stored"])
+
+
+def look_alike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, look, same, links)``: of every row its class of texts that look the same, named by the least key in it,
+    the least key with the very same text, and the number of rows that look the same though their text differs.
+
+    Null texts and those that show nothing (empty or only spaces and line breaks in their one form) have no row; repeated rows
+    are rows of their own; only the two named columns are read; an empty table gives no rows.
+    """
+    return _classes(df, key, text).select(F.col("k").alias(key), "look", "same", "links")
+
+
 def look_alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(doc_a, doc_b)``, doc_a < doc_b: rows whose texts differ but have one form.
 
-    Null texts and those that show nothing (empty or only spaces and line breaks in their one form) belong
-    to no pair; equal texts are no pair; only the two named columns are read.  Rows meet by a 128-bit
-    fingerprint of the form, and only those of a form that several texts have are joined, so the mirrored
-    copies of one page, however many, are gone before the join.
+    The classes of :func:`look_alike_classes` spelled out: different texts of one form are paired once, whatever
+    their number of copies, and each pair is then expanded by the copies of its two texts.
     """
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull())
-    shown = one_form(rows, "t", "s").where(F.length(F.regexp_replace("s", r"\s", "")) > 0)
-    marks = shown.select("k", F.md5("s").alias("form"), F.md5("t").alias("stored"))
-    marks = Scratch(df.sparkSession, "look").keep(marks)
-    several = marks.groupBy("form").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where("lo != hi").select("form")
-    some = marks.join(several, "form", "left_semi")
-    other = some.select("form", F.col("k").alias("k2"), F.col("stored").alias("stored2"))
-    return some.join(other, "form").where((F.col("k") < F.col("k2")) & (F.col("stored") != F.col("stored2"))).select(F.col("k").alias("doc_a"), F.col("k2").alias("doc_b"))
+    some = Scratch(df.sparkSession, "alike").keep(_classes(df, key, text).where("links > 0").select("k", "form", "stored"))
+    texts = some.select("form", "stored").distinct()
+    pairs = texts.join(texts.withColumnRenamed("stored", "other"), "form").where("stored < other")
+    a, b = some.select("form", "stored", F.col("k").alias("ka")), some.select("form", F.col("stored").alias("other"), F.col("k").alias("kb"))
+    return pairs.join(a, ["form", "stored"]).join(b, ["form", "other"]).select(F.least("ka", "kb").alias("doc_a"), F.greatest("ka", "kb").alias("doc_b")).where("doc_a < doc_b")

@@ -11,7 +11,7 @@ from strandweave.llm.bpe import token_ids, token_sizes
 from strandweave.llm.components import groups
 from strandweave.llm.frequency import marked
 from strandweave.llm.heavy_hitters import frequent
-from strandweave.llm.look import look_alike_pairs, one_form
+from strandweave.llm.look import look_alike_classes, look_alike_pairs, one_form
 from strandweave.llm.packing import pack, windows
 from strandweave.llm.similar import clusters, described, membership
 from strandweave.llm.spans import coverage, shared_spans
@@ -84,11 +84,15 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_alike_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return look_alike_classes(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def p9_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_form(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "shown")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_kmers, p4_found, p5_found, p5_clusters, p6_found, p6_shared, p7_ids, p8_found, p8_pieces, p8_windows, p9_found, p9_text)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_kmers, p4_found, p5_found, p5_clusters, p6_found, p6_shared, p7_ids, p8_found, p8_pieces, p8_windows, p9_found, p9_classes, p9_text)}
 
 _SPANS = """
     WITH b AS (SELECT DISTINCT target_id, read_id, upper(seq) AS seq FROM brothers WHERE seq IS NOT NULL AND read_id IS NOT NULL),

@@ -80,3 +80,18 @@ def test_empty_table(spark):
     assert marked(spark.createDataFrame([], SCHEMA_DF), "term", "record").collect() == []
     only = marked(spark.createDataFrame([("a", None)], "term string, record long"), "term", "record").collect()
     assert [tuple(r) for r in only] == [("a", 1, 0, "rare")]
+
+
+def test_cut_looks_only_at_the_bounds_between_its_terms():
+    class Counted(list):
+        looked = 0
+
+        def __getitem__(self, i):
+            Counted.looked += 1
+            return super().__getitem__(i)
+
+    t = table([b"m%03d" % i for i in range(200)])
+    bounds = Counted([b"", *(b"%c%05d" % (c, i) for c in b"abcnopq" for i in range(20_000)), b"m050", b"m100"])
+    bounds.sort()
+    got = [(bounds[i], part["term"][0].as_py(), part.num_rows) for i, part in cut(t, bounds)]
+    assert [g[1:] for g in got] == [(b"m000", 50), (b"m050", 50), (b"m100", 100)] and Counted.looked < 100

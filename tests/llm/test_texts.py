@@ -5,7 +5,8 @@ import pytest
 from tokenizers import Tokenizer
 
 from strandweave.llm.bpe import Encoder, Merges, default_path, token_ids, token_sizes
-from strandweave.llm.look import Tables, fold_column, look_alike_pairs, one_form
+from strandweave.llm import queries
+from strandweave.llm.look import fold_column, look_alike_classes, look_alike_pairs, one_form, tables
 from strandweave.llm.packing import pack, windows
 
 TEXTS = ["", None, " ", "Hello world's  end", "<|endoftext|> x", "aaaaaaaaaaaaaaaaaa" * 300, "日本語 テキスト 한국어 😀👩‍👩‍👧", "\u0000\x1f\r\n\t\n\n  x", "a" * 20_000 + " b" * 5000, "ﬁ é é", "퟿\U0010ffff"]
@@ -83,11 +84,13 @@ SAME = [
     ("Ｆｕｌｌ　ｗｉｄｔｈ", "Full width"), ("näive café", "näive café"), ("zero​wid­th﻿", "zerowidth"), ("no break thin", "no break thin"),
     ("pаypаl Ѕсоре", "paypal Scope"), ("oﬃce ﬂow", "office flow"), ("ﾊﾞﾅﾅ", "バナナ"), ("각", "각"), ("a\r\nb", "a\nb"), ("Å", "Å"), ("ạ̇", "ạ̇"),
 ]
+SAME += [("ᎪᏴᏟ", "ABC"), ("ꓐꓳ", "BO"), ("ⲞⲢ", "OP")]
 OTHER = [("Case", "case"), ("1", "l"), ("0", "O"), ("é", "e"), ("a  b", "a b"), ("a\nb", "a b"), ("x²", "x2"), ("a\n\nb", "a\nb"), ("バ", "ハ")]
 
 
 def test_forms():
-    t = Tables()
+    t = tables()
+    assert t is tables()
     fold = lambda s: fold_column(pa.array([s]), t)[0].as_py()
     for a, b in SAME:
         assert fold(a) == fold(b) and fold(fold(a)) == fold(a), (a, b)
@@ -106,5 +109,34 @@ def test_pairs(spark):
     got = {tuple(r) for r in look_alike_pairs(df, "doc_id", "text").collect()}
     assert got == {(0, 1), (1, 2), (0, 9), (1, 9), (2, 9), (10, 11)}
     assert look_alike_pairs(spark.createDataFrame([], df.schema), "doc_id", "text").count() == 0
+    classes = {r.doc_id: (r.look, r.same, r.links) for r in look_alike_classes(df, "doc_id", "text").collect()}
+    assert classes == {0: (0, 0, 2), 1: (0, 1, 3), 2: (0, 0, 2), 3: (3, 3, 0), 9: (0, 9, 3), 10: (10, 10, 1), 11: (10, 11, 1)}
+    assert look_alike_classes(spark.createDataFrame([], df.schema), "doc_id", "text").count() == 0
     shown = {r.doc_id: r.s for r in one_form(df, "text", "s").collect()}
     assert shown[1] == "Full text" and shown[4] is None and shown[6] == ""
+
+
+def test_packing_of_the_documents(spark, sf, reference):
+    """Every token of every document in one window, and hardly more windows than the tokens need."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    sizes = {r.doc_id: len(reference(r.text)) for r in docs}
+    fill = packed_ok(queries.p8_pieces(spark, sf).collect(), sizes, queries.WINDOW)
+    assert len(fill) <= 1.02 * sum(sizes.values()) / queries.WINDOW + 2
+    assert {r.doc_id for r in queries.p8_found(spark, sf).collect()} == {d for d, n in sizes.items() if n > queries.WINDOW}
+    assert {(r.window, r.pieces, r.tokens) for r in queries.p8_windows(spark, sf).collect()} == {(w, len(v), v[-1][1]) for w, v in fill.items()}
+
+
+def test_look_alikes_of_the_documents(spark, sf):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    t = tables()
+    shown = {d: fold_column(pa.array([x], pa.string()), t)[0].as_py() for d, x in docs.items()}
+    assert {r.doc_id: r.shown for r in queries.p9_text(spark, sf).collect()} == shown
+    forms = {}
+    for d, x in shown.items():
+        if x and x.strip():
+            forms.setdefault(x, []).append(d)
+    pairs = {(min(a, b), max(a, b)) for ids in forms.values() for a in ids for b in ids if docs[a] != docs[b]}
+    got = [tuple(r) for r in queries.p9_found(spark, sf).collect()]
+    assert len(got) == len(set(got)) and set(got) == pairs
+    want = {d: (min(ids), min(x for x in ids if docs[x] == docs[d]), sum(docs[x] != docs[d] for x in ids)) for ids in forms.values() for d in ids}
+    assert {r.doc_id: (r.look, r.same, r.links) for r in queries.p9_classes(spark, sf).collect()} == want
