@@ -25,9 +25,8 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--no-cluster", action="store_true")
     a = p.parse_args(argv)
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(message)s")
-    if "://" not in a.output:
-        files.check_output(a.output)
     spark = SparkSession.builder.appName("strandweave").getOrCreate()
+    files.check_output(spark, a.output)
     options = Options(a.k, a.h_min, a.h_max, a.e_min, a.e_max, a.h_rate, a.subset, cluster=not a.no_cluster)
     logging.info("correcting %s", a.reads)
     files.write_corrected(correct(readers.scan_reads(spark, a.reads), options), a.output)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.functions.dna import kmer_hash
 from strandweave.operators.ranking import first_per_key, with_ordinal
 
+#: Leading bits of a hash by which k-mers are counted before a range of them is read.
+CELL_BITS = 14
+
 
 def explode_kmers(reads: DataFrame, k: int) -> DataFrame:
     """``(kmer, read_id, is_orig, pos)``: every window of ``k`` bases; reads shorter than ``k`` have none."""
@@ -38,8 +43,20 @@ def with_order(df: DataFrame) -> DataFrame:
 
 
 def range_scan(index: DataFrame, first: int, end: int) -> DataFrame:
-    """K-mers with ordinals ``first`` to ``end`` - 1 in the order of the index."""
-    return with_ordinal(with_order(index), ["khash", "kmer"]).where((F.col("ordinal") >= first) & (F.col("ordinal") < end))
+    """K-mers with ordinals ``first`` to ``end`` - 1 in the order of the index.
+
+    K-mers are counted by the leading bits of their hash; only those of the cells that the range touches are
+    read again, ranked, and numbered on from the count before them.
+    """
+    rows = with_order(index).withColumn("cell", F.shiftright("khash", 32 - CELL_BITS))
+    sizes = [(r.cell, r["count"]) for r in rows.groupBy("cell").count().orderBy("cell").collect()]  # at most 2 ^ CELL_BITS
+    ends = list(accumulate(n for _, n in sizes))
+    cells = [(c, done - n) for (c, n), done in zip(sizes, ends, strict=True) if done > first and done - n < end]
+    if not cells:
+        return rows.drop("cell").withColumn("ordinal", F.lit(0).cast("long")).limit(0)
+    some = rows.where(F.col("cell").between(cells[0][0], cells[-1][0])).drop("cell")
+    numbered = with_ordinal(some, ["khash", "kmer"]).withColumn("ordinal", F.col("ordinal") + cells[0][1])
+    return numbered.where((F.col("ordinal") >= first) & (F.col("ordinal") < end))
 
 
 def bucket(df: DataFrame, n: int, first: int, end: int) -> DataFrame:
@@ -50,12 +67,13 @@ def bucket(df: DataFrame, n: int, first: int, end: int) -> DataFrame:
 def frequency_filter(occurrences: DataFrame, max_cov: int) -> DataFrame:
     """Occurrences of k-mers that are seen less than 3 * max_cov times; 0 keeps all.
 
-    This is how overlap detection is defined: repeats are no evidence for an overlap.
+    This is how overlap detection is defined: repeats are no evidence for an overlap.  Repeats are at most one in
+    3 * max_cov k-mers, so their table is the small side.
     """
     if max_cov <= 0:
         return occurrences
-    few = index_counts(occurrences).where(F.col("occ") < 3 * max_cov)
-    return occurrences.join(few.select("kmer"), "kmer", "left_semi")
+    heavy = index_counts(occurrences).where(F.col("occ") >= 3 * max_cov)
+    return occurrences.join(heavy.select("kmer"), "kmer", "left_anti")
 
 
 def bin_cap(occurrences: DataFrame, cap: int) -> DataFrame:

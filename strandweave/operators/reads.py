@@ -31,4 +31,4 @@ def read_stats(reads: DataFrame) -> DataFrame:
 
 def shuffled(reads: DataFrame, seed: int = 1) -> DataFrame:
     """Reads with ``shuffle_key``: sorting by it is a fixed random order, and ranges of it are samples."""
-    return reads.withColumn("shuffle_key", F.xxhash64(F.lit(seed), "read_id"))
+    return reads.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(seed), "read_id")))

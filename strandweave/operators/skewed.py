@@ -23,6 +23,8 @@ from strandweave.scratch import Scratch
 
 #: Equal (key, record) rows may be split into as many ranges.
 TIES = 1024
+#: Rows of a range: the fewest, the most, and the number of ranges up to which they stay few.
+FEW, MANY, RANGES = 1 << 18, 1 << 23, 10_000
 
 
 def _runs(col: pa.Array) -> np.ndarray:
@@ -93,15 +95,22 @@ def _partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield one(held, True)
 
 
+def ranges(rows: int, least: int) -> int:
+    """The number of ranges for so many rows."""
+    return max(least, -(-rows // min(MANY, max(FEW, rows // RANGES))))
+
+
 def key_counts(df: DataFrame, key: str, record: str, partitions: int | None = None) -> DataFrame:
     """``(key, rows, records)``: of every key its rows and distinct non-null records, evenly spread.
 
     A null key is a key of its own, a null record counts as a row but as no record; an empty table gives
     no rows; only the two named columns are read, so any further ones, whatever their names, are ignored.
-    Repeated rows count as rows.  ``partitions`` defaults to ``spark.sql.shuffle.partitions``.
+    Repeated rows count as rows.  ``partitions`` defaults to what keeps a range small whatever the input:
+    ranges of ``FEW`` rows, larger ones (up to ``MANY``) once there are ``RANGES``, and at least
+    ``spark.sql.shuffle.partitions``.
     """
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or ranges(df.count(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = df.select(F.col(key).alias("key"), F.col(record).alias("record"))
     kt, rt = rows.schema["key"].dataType, rows.schema["record"].dataType
     schema = T.StructType([

@@ -1,12 +1,12 @@
-"""Queries that write the given tables in each format and read them back, and simulated reads."""
+"""Queries that write the given tables in each format and read them back."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandweave.operators import kmers, simulate
+from strandweave.operators import kmers
 from strandweave.plans import base, model_queries, vote_queries
-from strandweave.plans.sql import EDGES, OCC, READS
+from strandweave.plans.sql import EDGES, OCC
 from strandweave.plans.vote_queries import called_sql
 from strandweave.scratch import Scratch
 from strandweave.sources import files, readers
@@ -70,40 +70,7 @@ def fastq_records(spark, d):
     return files.fastq(vote_queries.corrected_reads(spark, d))
 
 
-def sim_strands(spark, d):
-    return simulate.strands(base.reads(spark, d).where("is_orig"))
-
-
-def sim_reads(spark, d):
-    clean = base.reads(spark, d).where(F.col("is_orig") & F.col("seq").rlike("^[ACGT]*$"))
-    strands = Scratch(spark, "strands").keep(simulate.strands(clean))  # else their letters are drawn again for each read
-    return simulate.reads(simulate.check_strands(strands))
-
-
-QUERIES = {f.__name__: f for f in (scan_reads_text, scan_reads_gzip, scan_fastq, index_store, neighbor_store, confusion_store, histogram_store, fastq_records, sim_strands, sim_reads)}
-
-_HEX = "list_aggregate(list_transform(range(0, {0}), lambda b: md5({1} || '|' || b)), 'string_agg', '')"
-_NUM = "('0x' || substr({0}, ({1} + 1)::INTEGER, {2}))::INTEGER"
-_STRANDS = f"""
-sd AS (
-    SELECT read_id, s::INTEGER AS strand, seq, {_HEX.format("greatest(len - 1, 0) // 8 + 1", "read_id || '|' || s")} AS d
-    FROM reads, unnest(range(0, 3)) AS t(s) WHERE is_orig),
-st AS (
-    SELECT read_id, strand, coalesce(list_aggregate(list_transform(range(0, length(seq)), lambda i:
-        CASE WHEN strand > 0 AND {_NUM.format("d", "i * 4", 3)} < 122 THEN substr('TAGC', {_NUM.format("d", "i * 4 + 3", 1)} % 4 + 1, 1) ELSE substr(seq, (i + 1)::INTEGER, 1) END), 'string_agg', ''), '') AS seq
-    FROM sd)"""
-
-
-def _misread_sql() -> str:
-    out = "CASE c"
-    for true, row in simulate.MISREAD.items():
-        run, steps = 0.0, ""
-        for letter, p in zip(simulate.LETTERS, row, strict=True):
-            run += p
-            steps += f" WHEN t < {round(run, 6)}::DOUBLE THEN '{letter}'"
-        out += f" WHEN '{true}' THEN CASE{steps} ELSE 'C' END"
-    return out + " ELSE c END"
-
+QUERIES = {f.__name__: f for f in (scan_reads_text, scan_reads_gzip, scan_fastq, index_store, neighbor_store, confusion_store, histogram_store, fastq_records)}
 
 _SEQS = "SELECT upper(seq) AS seq, count(*) AS n FROM seq_reads WHERE seq IS NOT NULL AND seq <> '' GROUP BY 1"
 ORACLES = {
@@ -118,13 +85,4 @@ ORACLES = {
         WITH {called_sql()}, s AS (SELECT r1, string_agg(base, '' ORDER BY col) AS seq, string_agg(qual, '' ORDER BY col) AS qual FROM called GROUP BY r1),
         o AS (SELECT src_row, s.seq, s.qual, row_number() OVER (ORDER BY src_row NULLS FIRST, r1) - 1 AS record FROM s JOIN reads ON read_id = r1)
         SELECT record, src_row, '@' || record || chr(10) || seq || chr(10) || '+' || chr(10) || qual AS value FROM o""",
-    "sim_strands": f"WITH {READS}, {_STRANDS} SELECT read_id, strand, seq FROM st",
-    "sim_reads": f"""
-        WITH {READS.replace("GROUP BY read_id)", "GROUP BY read_id HAVING regexp_full_match(arg_max(upper(seq), loaded_at), '[ACGT]*'))")}, {_STRANDS},
-        nn AS (SELECT *, md5(read_id || '|' || strand || '|n|0') || md5(read_id || '|' || strand || '|n|1') AS nd FROM st WHERE length(seq) > 10),
-        cn AS (SELECT *, greatest(round(5 + (list_sum(list_transform(range(0, 12), lambda i: {_NUM.format("nd", "i * 4", 4)})) / 65536.0::DOUBLE - 6))::INTEGER, 0) AS copies FROM nn),
-        cp AS (SELECT read_id, strand, seq, k::INTEGER AS copy, md5(read_id || '|' || strand || '|' || k || '|0') || md5(read_id || '|' || strand || '|' || k || '|1') AS d FROM cn, unnest(range(0, copies)) AS t(k)),
-        sp AS (SELECT *, {_NUM.format("d", "0", 4)} % (length(seq) - 10) AS start FROM cp),
-        ch AS (SELECT read_id, strand, copy, start, i, substr(seq, (start + i + 1)::INTEGER, 1) AS c, {_NUM.format("d", "(i + 1) * 4", 4)} / 65536.0::DOUBLE AS t FROM sp, unnest(range(0, 10)) AS r(i))
-        SELECT read_id, strand, copy, start::INTEGER AS start, string_agg({_misread_sql()}, '' ORDER BY i) AS seq FROM ch GROUP BY ALL""",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandweave.functions import dna
 from strandweave.operators import reads as R
+from strandweave.operators.ranking import with_ordinal
 from strandweave.plans import base
 from strandweave.plans.sql import READS, UNIT
 from strandweave.sources.tables import table
@@ -23,6 +24,11 @@ def read_stats(spark, d):
     return R.read_stats(base.reads(spark, d))
 
 
+def shuffled_reads(spark, d):
+    """Each read's place in the seeded order."""
+    return with_ordinal(R.shuffled(base.reads(spark, d).select("read_id"), 7), ["shuffle_key", "read_id"]).select("read_id", "ordinal")
+
+
 def base_codec(spark, d):
     letters = table(spark, d, "seq_reads").where("seq is not null").select(F.explode(F.split("seq", "")).alias("base")).where("base <> ''")
     counts = letters.groupBy("base").agg(F.count("*").alias("n"))
@@ -61,7 +67,7 @@ def bernoulli_test(spark, d):
     return base.reads(spark, d).select("read_id", dna.bernoulli(0.25, F.col("read_id"), F.lit("b")).alias("hit"))
 
 
-QUERIES = {f.__name__: f for f in (reads_both_strands, revcomp, read_stats, base_codec, iupac_code, k_rule, param_grid, array_normalize, weighted_pick, bernoulli_test)}
+QUERIES = {f.__name__: f for f in (reads_both_strands, revcomp, read_stats, shuffled_reads, base_codec, iupac_code, k_rule, param_grid, array_normalize, weighted_pick, bernoulli_test)}
 
 _RC = "reverse(translate({}, 'ACGTN', 'TGCAN'))"
 _WS = """WITH w AS (SELECT pos, true_b, list(coalesce(w, 0) ORDER BY called_b) AS ws FROM confusion GROUP BY 1, 2)"""
@@ -72,6 +78,7 @@ ORACLES = {
         UNION ALL SELECT src_row * 2 + 1, src_row, false, {_RC.format("seq")} FROM o""",
     "revcomp": f"WITH {READS} SELECT read_id, {_RC.format('seq')} AS rc FROM reads",
     "read_stats": f"WITH {READS} SELECT count(*) AS n_reads, max(len) AS max_len, min(len) AS min_len, sum(len)::BIGINT AS n_bases FROM reads",
+    "shuffled_reads": f"WITH {READS} SELECT read_id, row_number() OVER (ORDER BY md5('7|' || read_id), read_id) - 1 AS ordinal FROM reads",
     "base_codec": """
         SELECT base, CASE instr('ACGT', base) WHEN 0 THEN 4 ELSE instr('ACGT', base) - 1 END::INTEGER AS code,
             CASE WHEN instr('ACGT', base) > 0 THEN base END AS back, instr('ACGT', base) = 0 AS is_any, count(*) AS n

@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that all executors share.
 
 Iterative operators cut their lineage by writing a table and reading it back.  The folder is the
-session's ``spark.checkpoint.dir``; where that is unset (tests, a laptop) a new local one is made.
+session's ``spark.checkpoint.dir``; where that is unset on one machine (tests, a laptop) a new local one is
+made, and on a cluster that is an error.  :func:`release` deletes what finished operators have left.
 """
 
 from __future__ import annotations
@@ -18,24 +19,39 @@ KEY = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session; sets one only if the session names none."""
     base = spark.sparkContext.getConf().get(KEY) or spark.conf.get(KEY, None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError(f"{KEY} is unset: name a folder that all executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set(KEY, base)
     return base.rstrip("/")
 
 
+#: Runs whose tables are not deleted yet.
+OPEN: list[Scratch] = []
+
+
+def release() -> None:
+    """Deletes the tables of all operators so far; results that were not read or written yet are lost."""
+    while OPEN:
+        OPEN.pop().delete()
+
+
+atexit.register(release)
+
+
 class Scratch:
     """Tables of one run of an operator, in a folder of their own below the shared one.
 
     ``keep`` writes a table and returns it read back; ``drop`` deletes one that no later step reads.
-    What is left is deleted when the driver ends, since results are read lazily.
+    What is left is deleted by :func:`release` or when the driver ends, since results are read lazily.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
-        atexit.register(self._delete, self.root)
+        OPEN.append(self)
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.n}"
@@ -50,6 +66,10 @@ class Scratch:
         if path:
             self._delete(path)
 
+    def delete(self) -> None:
+        """Deletes all tables of this run."""
+        self._delete(self.root)
+
     def _delete(self, path: str) -> None:
         try:
             sc = self.spark.sparkContext

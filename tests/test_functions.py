@@ -42,3 +42,12 @@ def test_arrays(spark):
     picks = one(spark, *[dna.weighted_pick(F.array(F.lit(0.25), F.lit(0.75)), F.lit(t)) for t in (0.0, 0.25, 0.99, 1.0)])
     assert picks == (0, 1, 1, -1)
     assert one(spark, dna.lgamma(F.lit(5.0)))[0] == pytest.approx(math.lgamma(5))
+
+
+def test_log_gamma():
+    import numpy as np
+
+    x = np.concatenate([np.arange(1, 400.0), np.random.default_rng(1).random(500) * 40 + 1e-9, [1e5, 1e12, 1e300]])
+    want = np.array([math.lgamma(v) for v in x])
+    assert np.all(np.abs(dna.log_gamma(x) - want) <= 1e-13 * np.maximum(1, np.abs(want)) + 1e-13)
+    assert list(dna.log_gamma(np.array([0.0, -3.0, np.inf]))) == [math.inf] * 3
