@@ -59,7 +59,9 @@ def cluster_loglik(spark, d):
 
 
 def cluster_neighbors(spark, d):
-    return clustering.cluster_neighbors(_brothers(spark, d), _matrix(spark, d))
+    """A target that is not among its brothers is placed by its sequence in the read store."""
+    own = base.reads(spark, d).select(F.col("read_id").alias("target_id"), "seq")
+    return clustering.cluster_neighbors(_brothers(spark, d), _matrix(spark, d), own=own)
 
 
 def cluster_semi_join(spark, d):

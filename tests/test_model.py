@@ -2,7 +2,9 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandweave.operators import clustering, model, voting
 from strandweave.plans import base, model_queries, pipeline_queries, vote_queries
@@ -157,3 +159,110 @@ def test_large_target_is_fitted_on_all_sequences(spark):
         got.setdefault(r.target_id, set()).add(r.center)
     assert set(got) == set(range(9)) and got[8] == {two}
     assert sum(got[t] == {one, two} for t in range(8)) >= 2
+
+
+def brute_centers(log, target, seqs, seed=1):
+    """The same fit of one target by plain loops: one cluster number after the other, one read at a time."""
+    distinct = sorted(set(seqs))
+    n = [seqs.count(x) for x in distinct]
+    like = lambda x, c: sum(log[p]["ACGT_".index(a)]["ACGT_".index(b)] for p, (a, b) in enumerate(zip(x, c, strict=True)))
+    h = {x: clustering_hash(x) for x in distinct}
+    variate = lambda x, *key: float(clustering.exponential(np.array([h[x]], np.int64), *key)[0])
+
+    def seeds(k, stream):
+        out = []
+        for i in range(1, k + 1):
+            for j in range(clustering.DRAWS):
+                weight = [m * (max((1 - math.exp(max(like(x, c) for c in out))) ** 2, 1e-200) if out else 1) for x, m in zip(distinct, n, strict=True)]
+                x = min(zip(distinct, weight, strict=True), key=lambda t: variate(t[0], seed, target, i, stream, j) / t[1])[0]
+                new = ""
+                for p, c in enumerate(x):
+                    rows = [(y, m) for y, m in zip(distinct, n, strict=True) if y[p] != "_"]
+                    new += min(rows, key=lambda t: math.log(variate(t[0], seed, target, i, stream, j, p)) - like(t[0], x) - math.log(t[1]))[0][p] if c == "_" and rows else c
+                if new not in out:
+                    break
+            out.append(new)
+        return out
+
+    def kmeans(k):
+        for stream in clustering.STREAMS:
+            centers = seeds(k, stream)
+            for _ in range(clustering.ITERATIONS):
+                group = [min(range(k), key=lambda g: (round(1 - math.exp(like(x, centers[g])), 12), g)) for x in distinct]
+                if len(set(group)) < k:
+                    break
+                made = []
+                for g in range(k):
+                    rows = [(x, m) for x, m, o in zip(distinct, n, group, strict=True) if o == g]
+                    score = lambda p, b: round(sum(m * log[p]["ACGT".index(x[p])][b] for x, m in rows if x[p] != "_"), 9)  # noqa: E731, B023
+                    made.append("".join("ACGT"[max(range(4), key=lambda b: (score(p, b), -b))] for p in range(len(distinct[0]))))
+                total, sizes = 0.0, []
+                for g in range(k):
+                    rows = [(x, m) for x, m, o in zip(distinct, n, group, strict=True) if o == g]
+                    sizes.append(sum(m for _, m in rows))
+                    own = sum(m * sum(log[p]["ACGT_".index(b)]["ACGT_".index(a)] for p, (a, b) in enumerate(zip(x, centers[g], strict=True))) for x, m in rows)
+                    total += own + sizes[-1] * (math.lgamma(sizes[-1]) - sum(math.lgamma(m) for _, m in rows))
+                if k > 1:
+                    total += math.lgamma(k) + sum(map(math.lgamma, sizes)) - math.lgamma(math.prod(sizes))
+                if made == centers:
+                    return made, total
+                centers = made
+        return None
+
+    found, last, k = [], -math.inf, 1
+    while k <= len(distinct) and (got := kmeans(k)) and got[1] > last:
+        (found, last), k = got, k + 1
+    return found
+
+
+def clustering_hash(x):
+    return HASHES[x]
+
+
+HASHES = {}
+
+
+@pytest.mark.parametrize("fit", [4096, 5])
+def test_centers_equal_brute_force(spark, fit):
+    """Whole targets and targets cut into parts that several tasks work on."""
+    rng = random.Random(9)
+    rows = []
+    for t, kinds in enumerate([1, 2, 3, 5]):
+        base = ["".join(rng.choice("ACGT") for _ in range(24)) for _ in range(kinds)]
+        for i in range(4 + 5 * kinds):
+            x = "".join(rng.choice("ACGT") if rng.random() < 0.02 else c for c in rng.choice(base))
+            cut = rng.choice([0, 0, 3, 7])
+            rows.append((t, i, "_" * cut + x[cut:] if rng.random() < 0.5 else x[: 24 - cut] + "_" * cut))
+    brothers = spark.createDataFrame(rows, "target_id long, read_id long, seq string")
+    HASHES.update({r.seq: r.h for r in brothers.select("seq", F.xxhash64("seq").alias("h")).collect()})
+    table = [(p, a, b, 0.997 if a == b else 0.001) for p in range(24) for a in range(4) for b in range(4)]
+    m = clustering.Matrix(spark.createDataFrame(table, "pos int, true_b int, called_b int, w double"), smoothing=0.0)
+    kmeans = clustering.KMeans(brothers, m, 1, fit)
+    assert kmeans.split == (fit == 5)
+    got = {}
+    for r in sorted(kmeans.best().collect(), key=lambda r: r.cluster):
+        got.setdefault(r.target_id, []).append(r.center)
+    log = m.wide(24)
+    assert got == {t: brute_centers(log, t, [s for u, _, s in rows if u == t]) for t in range(4)}
+    assert max(map(len, got.values())) > 1
+
+
+def test_a_large_target_spreads_over_tasks(spark):
+    reads = spark.range(100_000).select(F.lit(1).alias("target_id"), F.col("id").alias("read_id"), F.translate(F.substring(F.md5(F.col("id").cast("string")), 1, 24), "0123456789abcdef", "ACGTACGTACGTACGT").alias("seq"))
+    table = [(p, a, b, 0.25) for p in range(24) for a in range(4) for b in range(4)]
+    m = clustering.Matrix(spark.createDataFrame(table, "pos int, true_b int, called_b int, w double"), smoothing=0.0)
+    blocks = clustering.KMeans(reads, m, 1, clustering.FIT).blocks.select("part", F.size("seqs").alias("n")).collect()
+    assert len(blocks) == 25 and max(r.n for r in blocks) < 4500 and sum(r.n for r in blocks) == 100_000
+
+
+def test_target_without_its_own_row_is_placed_by_its_read(spark):
+    one, two = "ACGTTGCAAGCTTAGCCATGATCG", "TTACGGATCCGTAACGGTTAACCA"
+    rows = [(7, i, one) for i in range(5)] + [(7, 10 + i, two) for i in range(5)]
+    brothers = spark.createDataFrame(rows, "target_id long, read_id long, seq string")
+    table = [(p, a, b, 0.997 if a == b else 0.001) for p in range(24) for a in range(4) for b in range(4)]
+    m = clustering.Matrix(spark.createDataFrame(table, "pos int, true_b int, called_b int, w double"), smoothing=0.0)
+    own = spark.createDataFrame([(7, two), (8, one)], "target_id long, seq string")
+    assert {r.read_id for r in clustering.cluster_neighbors(brothers, m).collect()} == {r for _, r, _ in rows}
+    centers = {r.center for r in clustering.fit_centers(brothers, m).collect()}
+    want = {10, 11, 12, 13, 14} if len(centers) > 1 else {r for _, r, _ in rows}
+    assert {r.read_id for r in clustering.cluster_neighbors(brothers, m, own=own).collect()} == want
