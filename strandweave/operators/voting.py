@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations_with_replacement
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ from strandweave.functions.once import computed
 #: Hypotheses: one base, or two bases in alphabetical order.
 HOMOZYGOUS = [(b, b) for b in range(4)]
 HETEROZYGOUS = list(combinations_with_replacement(range(4), 2))
+#: Edges of a read that one task adds up; those of a deeper one are dealt to several.
+DEEP = 1 << 14
 #: Quality letters: the lowest, and the greatest value above it.
 LOWEST, GREATEST = 33, 93
 
@@ -45,19 +50,23 @@ def normalized(confusion: DataFrame, smoothing: float = 1.0) -> DataFrame:
     return rows.join(total, ["pos", "called_b"]).select("pos", "true_b", "called_b", (F.col("w") / F.col("total")).alias("p"))
 
 
+def placed(edges: DataFrame, reads: DataFrame) -> DataFrame:
+    """``(r1, st1, st2, len2, orig2, own, bases)``: one row an edge of an original read, with the neighbour's bases in the overlap."""
+    two = reads.select(F.col("read_id").alias("r2"), F.col("seq").alias("seq2"), F.col("is_orig").alias("orig2"))
+    one = reads.where("is_orig").select(F.col("read_id").alias("r1"))
+    st1, st2 = F.greatest(F.col("offs"), F.lit(0)), F.greatest(-F.col("offs"), F.lit(0))
+    return edges.join(one, "r1", "left_semi").join(two, "r2").select(
+        "r1", st1.alias("st1"), st2.alias("st2"), "len2", "orig2", (F.col("r1") == F.col("r2")).alias("own"), F.substring(F.col("seq2"), st2 + 1, F.col("overlap")).alias("bases")
+    )
+
+
 def votes(edges: DataFrame, reads: DataFrame) -> DataFrame:
     """``(r1, col, pos, base, rc, own)``: one row a column of each edge of an original read.
 
     ``base`` is what the neighbour's original strand shows (complemented for a reverse complement), at
     ``pos`` of that strand; an N casts no vote and has a row, with a null base, only for the read itself.
     """
-    two = reads.select(F.col("read_id").alias("r2"), F.col("seq").alias("seq2"), F.col("is_orig").alias("orig2"))
-    one = reads.where("is_orig").select(F.col("read_id").alias("r1"))
-    st1, st2 = F.greatest(F.col("offs"), F.lit(0)), F.greatest(-F.col("offs"), F.lit(0))
-    placed = edges.join(one, "r1", "left_semi").join(two, "r2").select(
-        "r1", st1.alias("st1"), st2.alias("st2"), "len2", "orig2", (F.col("r1") == F.col("r2")).alias("own"), F.split(F.substring(F.col("seq2"), st2 + 1, F.col("overlap")), "").alias("bases")
-    )
-    rows = placed.select("r1", "st1", "st2", "len2", "orig2", "own", F.posexplode("bases").alias("i", "letter")).where("letter <> ''")
+    rows = placed(edges, reads).select("r1", "st1", "st2", "len2", "orig2", "own", F.posexplode(F.split("bases", "")).alias("i", "letter")).where("letter <> ''")
     code = base_code(F.col("letter"))
     base = F.when(code < 4, F.when(F.col("orig2"), code).otherwise(3 - code))
     at = F.col("st2") + F.col("i")
@@ -74,27 +83,108 @@ def hypotheses(h_rate: float) -> list[tuple[int, int]]:
     return HETEROZYGOUS if h_rate > 0 else HOMOZYGOUS
 
 
-def columns(vote: DataFrame, ll: DataFrame, cov: float, h_rate: float = 0.0) -> DataFrame:
+def vote_table(ll: DataFrame, pairs: list[tuple[int, int]]) -> np.ndarray:
+    """Log-likelihoods [strand, pos, base, hypothesis] of a vote from :func:`likelihoods`; 0 where the table has none."""
+    rows = ll.collect()  # four rows a position of a read
+    one = np.zeros((1 + max((r.pos for r in rows), default=0), 4, 4))
+    for r in rows:
+        one[r.pos, r.called] = [r[f"ll{b}"] or 0.0 for b in range(4)]
+    both = np.stack([one, one[:, :, ::-1]])  # a vote of the other strand speaks for the complement
+    return np.stack([both[..., a] if a == b else np.log(0.5 * np.exp(both[..., a]) + 0.5 * np.exp(both[..., b])) for a, b in pairs], axis=-1)
+
+
+def _column_sums(table: np.ndarray):
+    """Tasks over edges sorted by read: sums over the votes of each column, a row a column."""
+    deep, many = table.shape[1], table.shape[-1]
+    flat = [np.ascontiguousarray(table[..., h]).ravel() for h in range(many)]
+    code = np.full(256, 4, np.int64)
+    code[list(b"ACGT")] = range(4)
+
+    def sums(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """The reads of a batch and [column, read, value]: rows, votes, own base + 1, and two sums for each hypothesis."""
+        r1, st1, st2, len2 = (b.column(c).to_numpy().astype(np.int64) for c in ("r1", "st1", "st2", "len2"))
+        orig, own = (b.column(c).to_numpy(zero_copy_only=False) for c in ("orig2", "own"))
+        text = b.column("bases").cast(pa.large_binary())
+        _, off, data = text.buffers()
+        off = np.frombuffer(off, np.int64)[text.offset : text.offset + len(text) + 1]
+        called = code[np.frombuffer(data, np.uint8)[off[0] : off[-1]]] if data else np.zeros(0, np.int64)
+        edge = np.repeat(np.arange(len(r1)), np.diff(off))
+        i = np.arange(len(edge)) - (off[:-1] - off[0])[edge]
+        new = np.append(True, r1[1:] != r1[:-1])
+        reads = np.flatnonzero(new)
+        col = st1[edge] + i
+        width = int(col.max(initial=-1)) + 1
+        key = (np.cumsum(new) - 1)[edge] * width + col
+        out = np.zeros((3 + 2 * many, len(reads) * width))
+        votes, mine = called < 4, own[edge]
+        out[0] = np.bincount(key[votes | mine], minlength=out.shape[1])
+        at, place = st2[edge] + i, key[votes]
+        rc = ~orig[edge]
+        base = np.where(rc, 3 - called, called)[votes]
+        pos = np.where(rc, len2[edge] - at - 1, at)[votes]
+        out[1] = np.bincount(place, minlength=out.shape[1])
+        self_ = mine[votes]
+        out[2, place[self_]] = base[self_] + 1
+        look = (rc[votes].astype(np.int64) * deep + np.minimum(pos, deep - 1)) * 4 + base
+        for h in range(many):
+            value = flat[h][look]
+            out[3 + h] = np.bincount(place, value, out.shape[1])
+            out[3 + many + h, place[self_]] = value[self_]
+        return r1[reads], out.reshape(len(out), len(reads), width)
+
+    def rows(reads: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        read, col = np.nonzero(x[0])
+        got = x[:, read, col]
+        cols = [pa.array(reads[read]), pa.array(col.astype(np.int32)), pa.array(got[1].astype(np.int64)), pa.array((got[2] - 1).astype(np.int32), mask=got[2] == 0)]
+        return pa.RecordBatch.from_arrays([*cols, *map(pa.array, got[3:])], names=["r1", "col", "n", "orig", *(f"s{h}" for h in range(many)), *(f"o{h}" for h in range(many))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last read so far, which the next batch may go on with
+        for b in batches:
+            if not b.num_rows:
+                continue
+            reads, x = sums(b)
+            if held is not None:
+                if held[0][0] == reads[0]:
+                    width = max(held[1].shape[2], x.shape[2])
+                    x = np.pad(x, ((0, 0), (0, 0), (0, width - x.shape[2])))
+                    more = np.pad(held[1], ((0, 0), (0, 0), (0, width - held[1].shape[2])))[:, 0]
+                    own = np.maximum(x[2, 0], more[2])
+                    x[:, 0] += more
+                    x[2, 0] = own
+                else:
+                    yield rows(*held)
+            if len(reads) > 1:
+                yield rows(reads[:-1], x[:, :-1])
+            held = reads[-1:], x[:, -1:].copy()
+        if held is not None:
+            yield rows(*held)
+
+    return run
+
+
+def columns(placed: DataFrame, ll: DataFrame, cov: float, h_rate: float = 0.0) -> DataFrame:
     """``(r1, col, n, orig, l.., q..)``: of each column its votes, the read's own base, and the log-likelihood
     of each hypothesis with (l) and without (q) prior votes; both hold the hypothesis' prior.
 
-    One shuffle: partial sums per column; the likelihood table is as small as a read is long.
+    ``placed`` (of :func:`placed`, best stored) is shuffled by read, one row an edge; tasks add up the votes of whole
+    columns in arrays.  The edges of a read with more than DEEP of them are dealt to several tasks, whose sums are added.
     """
     pairs = hypotheses(h_rate)
-    # the likelihood of a vote under each hypothesis depends on its position, base and strand only
-    seen = [F.when(F.col("rc"), F.col(f"ll{3 - b}")).otherwise(F.col(f"ll{b}")) for b in range(4)]
-    under = [(seen[a] if a == b else F.log(0.5 * F.exp(seen[a]) + 0.5 * F.exp(seen[b]))).alias(f"h{a}{b}") for a, b in pairs]
-    table = ll.withColumn("rc", F.explode(F.array(F.lit(False), F.lit(True)))).select("pos", F.col("called").alias("base"), "rc", *under)
-    joined = vote.join(table, ["pos", "base", "rc"], "left")
-    extra = prior_votes(cov, h_rate)
-    aggs = []
-    for a, b in pairs:
-        h = F.col(f"h{a}{b}")
+    many = range(len(pairs))
+    run = _column_sums(vote_table(ll, pairs))
+    values = [f"{x}{h}" for x in "so" for h in many]
+    schema = "r1 long, col int, n long, orig int, " + ", ".join(f"{v} double" for v in values)
+    deep = placed.groupBy("r1").agg(F.count("*").alias("edges")).where(F.col("edges") > DEEP)
+    sums = placed.join(deep, "r1", "left_anti").repartition("r1").sortWithinPartitions("r1").mapInArrow(run, schema)
+    dealt = placed.join(deep, "r1").withColumn("part", F.pmod(F.xxhash64("bases", "st1", "st2"), F.ceil(F.col("edges") / DEEP)))
+    parts = dealt.repartition("r1", "part").sortWithinPartitions("r1").drop("part", "edges").mapInArrow(run, schema)
+    sums = sums.unionByName(parts.groupBy("r1", "col").agg(F.sum("n").alias("n"), F.max("orig").alias("orig"), *[F.sum(v).alias(v) for v in values]))
+    extra, out = prior_votes(cov, h_rate), []
+    for h, (a, b) in enumerate(pairs):
         prior = math.log(0.25) + math.log(1 - h_rate) if a == b else -math.log(6) + math.log(h_rate)
-        total = F.coalesce(F.sum(h), F.lit(0.0))
-        again = F.coalesce(F.max(F.when(F.col("own"), h)), F.lit(0.0)) * extra if extra else F.lit(0.0)
-        aggs += [F.round(total + again + prior, 9).alias(f"l{a}{b}"), F.round(total + prior, 9).alias(f"q{a}{b}")]
-    return joined.groupBy("r1", "col").agg(F.count("base").alias("n"), F.max(F.when(F.col("own"), F.col("base"))).alias("orig"), *aggs)
+        out += [F.round(F.col(f"s{h}") + F.col(f"o{h}") * extra + prior, 9).alias(f"l{a}{b}"), F.round(F.col(f"s{h}") + prior, 9).alias(f"q{a}{b}")]
+    return sums.select("r1", "col", "n", "orig", *out)
 
 
 def best(pairs: list[tuple[int, int]]) -> Column:

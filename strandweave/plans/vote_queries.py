@@ -11,32 +11,44 @@ from strandweave.operators.overlaps import refilter
 from strandweave.plans import base
 from strandweave.plans.params import COV, H_RATE, MAX_VOTES, MIN_VOTES, SMOOTHING, E, H
 from strandweave.plans.sql import EDGES
+from strandweave.scratch import Scratch
 from strandweave.sources.tables import table
 
+#: Likelihoods have nine digits; this keeps them off the halves that the two engines round to different sides.
+OFF = 1.23e-10
 
-def _max_len(spark, d):
-    return base.reads(spark, d).agg(F.max("len")).first()[0] or 0
+
+def max_len(reads):
+    return reads.agg(F.max("len")).first()[0] or 0
+
+
+def _edges(spark, d, reads):
+    return refilter(base.edges(spark, d, reads), H, E)
 
 
 def votes(spark, d):
     reads = base.stored_reads(spark, d)
-    return voting.votes(refilter(base.edges(spark, d, reads), H, E), reads)
+    return voting.votes(_edges(spark, d, reads), reads)
 
 
-def likelihood_table(spark, d):
-    return voting.likelihoods(table(spark, d, "confusion"), _max_len(spark, d), smoothing=SMOOTHING)
+def placed(spark, d, reads):
+    """Edges with their neighbours' bases, written once."""
+    return Scratch(spark, "placed").keep(voting.placed(_edges(spark, d, reads), reads))
 
 
-def columns(spark, d, h_rate=0.0):
-    return voting.columns(votes(spark, d), likelihood_table(spark, d), COV, h_rate)
+def columns(spark, d, h_rate=0.0, reads=None):
+    reads = reads if reads is not None else base.stored_reads(spark, d)
+    ll = voting.likelihoods(table(spark, d, "confusion"), max_len(reads), smoothing=SMOOTHING)
+    return voting.columns(placed(spark, d, reads), ll, COV, h_rate)
 
 
-def called(spark, d, h_rate=0.0):
-    return voting.call(columns(spark, d, h_rate), MAX_VOTES, MIN_VOTES, h_rate)
+def called(spark, d, h_rate=0.0, reads=None):
+    return voting.call(columns(spark, d, h_rate, reads), MAX_VOTES, MIN_VOTES, h_rate)
 
 
 def collect_votes(spark, d):
-    return votes(spark, d).where("base is not null").groupBy("col", "pos", "base", "rc", "own").agg(F.count("*").alias("n"), F.countDistinct("r1").alias("n_reads"))
+    """Every vote, equal ones of a read and column counted."""
+    return votes(spark, d).where("base is not null").groupBy("r1", "col", "pos", "base", "rc", "own").agg(F.count("*").alias("n"))
 
 
 def self_prior_votes(spark, d):
@@ -49,14 +61,11 @@ def column_coverage(spark, d):
 
 
 def hypothesis_loglik(spark, d):
-    names = [f"{x}{b}{b}" for b in range(4) for x in "lq"]
-    return columns(spark, d).groupBy(F.col("r1").alias("read_id")).agg(*[F.round(F.sum(c), 2).alias(c) for c in names])
+    return columns(spark, d).select("r1", "col", *[F.round(F.col(f"{x}{b}{b}") + OFF, 6).alias(f"{x}{b}{b}") for b in range(4) for x in "lq"])
 
 
 def genotype_loglik(spark, d):
-    cols = columns(spark, d, H_RATE)
-    names = [f"l{a}{b}" for a, b in voting.HETEROZYGOUS]
-    return cols.groupBy(F.col("r1").alias("read_id")).agg(*[F.round(F.sum(c), 2).alias(c) for c in names])
+    return columns(spark, d, H_RATE).select("r1", "col", *[F.round(F.col(f"l{a}{b}") + OFF, 6).alias(f"l{a}{b}") for a, b in voting.HETEROZYGOUS])
 
 
 def genotype_call(spark, d):
@@ -76,7 +85,8 @@ def consensus_accept(spark, d):
 
 
 def corrected_reads(spark, d):
-    return voting.corrected(called(spark, d), base.reads(spark, d))
+    reads = base.stored_reads(spark, d)
+    return voting.corrected(called(spark, d, reads=reads), reads)
 
 
 def confusion_mstep(spark, d):
@@ -139,11 +149,11 @@ called AS (
 
 _STR = "SELECT r1 AS read_id, string_agg({0}, '' ORDER BY col) AS {0} FROM called GROUP BY r1"
 ORACLES = {
-    "collect_votes": f"WITH {VOTES} SELECT col, pos, base, rc, own, count(*) AS n, count(DISTINCT r1) AS n_reads FROM v WHERE base IS NOT NULL GROUP BY ALL",
+    "collect_votes": f"WITH {VOTES} SELECT r1, col, pos, base, rc, own, count(*) AS n FROM v WHERE base IS NOT NULL GROUP BY ALL",
     "self_prior_votes": f"WITH {VOTES} SELECT col, base, (count(*) * {voting.prior_votes(COV)})::BIGINT AS n_prior, 0::BIGINT AS n_prior_het FROM v WHERE own AND base IS NOT NULL GROUP BY 1, 2",
     "column_coverage": f"WITH {VOTES} SELECT r1, col, count(base) AS cov FROM v GROUP BY 1, 2",
-    "hypothesis_loglik": f"WITH {columns_sql()} SELECT r1 AS read_id, {', '.join(f'round(sum({x}{b}{b}), 2) AS {x}{b}{b}' for b in range(4) for x in 'lq')} FROM c GROUP BY r1",
-    "genotype_loglik": f"WITH {columns_sql(H_RATE)} SELECT r1 AS read_id, {', '.join(f'round(sum(l{a}{b}), 2) AS l{a}{b}' for a, b in voting.HETEROZYGOUS)} FROM c GROUP BY r1",
+    "hypothesis_loglik": f"WITH {columns_sql()} SELECT r1, col, {', '.join(f'round({x}{b}{b} + {OFF}::DOUBLE, 6) AS {x}{b}{b}' for b in range(4) for x in 'lq')} FROM c",
+    "genotype_loglik": f"WITH {columns_sql(H_RATE)} SELECT r1, col, {', '.join(f'round(l{a}{b} + {OFF}::DOUBLE, 6) AS l{a}{b}' for a, b in voting.HETEROZYGOUS)} FROM c",
     "genotype_call": f"WITH {called_sql(H_RATE)} " + _STR.format("mapped"),
     "map_consensus": f"WITH {called_sql()} " + _STR.format("mapped"),
     "quality_score": f"WITH {called_sql()} " + _STR.format("qual"),

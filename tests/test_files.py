@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandweave import cli, scratch
+from strandweave.operators import kmers
 from strandweave.operators.ranking import first_per_key, with_ordinal
+from strandweave.operators.reads import both_strands
 from strandweave.sources import files, readers
 
 
@@ -110,3 +112,9 @@ def test_command_line(spark, tmp_path):
     text = [r.value for r in spark.read.text(str(tmp_path / "out.fastq.seq")).collect()]
     assert sorted(text) == sorted(strand[i : i + 30] for i in range(18))
     assert len(readers.scan_fastq(spark, str(tmp_path / "out.fastq")).collect()) == 18
+    reads = both_strands(readers.scan_reads(spark, str(tmp_path / "r.txt")))
+    files.write_index(kmers.dedupe(kmers.explode_kmers(reads, 8)), str(tmp_path / "index"))
+    cli.main([str(tmp_path / "r.txt"), "-o", str(tmp_path / "again.fastq"), "-k", "8", "--index", str(tmp_path / "index"), "--no-cluster"])
+    assert [r.value for r in spark.read.text(str(tmp_path / "again.fastq")).collect()] == [r.value for r in spark.read.text(str(tmp_path / "out.fastq")).collect()]
+    with pytest.raises(SystemExit):
+        cli.main(["r.txt", "-o", "x", "--index", "i"])

@@ -57,18 +57,18 @@ def test_heterozygous_column(spark):
     reads = spark.createDataFrame([(2 * i, "A" if i < 5 else "G", True, 1) for i in range(10)], "read_id long, seq string, is_orig boolean, len int")
     edges = spark.createDataFrame([(0, 2 * i, 0, int(i >= 5), 1, 1, 1) for i in range(10)], "r1 long, r2 long, offs int, nerr int, overlap int, len1 int, len2 int")
     ll = voting.likelihoods(None, 1, spark)
-    het = voting.call(voting.columns(voting.votes(edges, reads), ll, 9, 0.01), 0, 0, 0.01).first()
+    het = voting.call(voting.columns(voting.placed(edges, reads), ll, 9, 0.01), 0, 0, 0.01).first()
     assert het.base == "R" and het.n == 10
-    hom = voting.call(voting.columns(voting.votes(edges, reads), ll, 9), 0, 0).first()
+    hom = voting.call(voting.columns(voting.placed(edges, reads), ll, 9), 0, 0).first()
     assert hom.base == "A"
-    few = voting.call(voting.columns(voting.votes(edges, reads), ll, 9), 5, 0).first()
+    few = voting.call(voting.columns(voting.placed(edges, reads), ll, 9), 5, 0).first()
     assert few.base == "A" and not few.accepted
 
 
 def test_column_without_votes(spark):
     reads = spark.createDataFrame([(0, "N", True, 1)], "read_id long, seq string, is_orig boolean, len int")
     edges = spark.createDataFrame([(0, 0, 0, 0, 1, 1, 1)], "r1 long, r2 long, offs int, nerr int, overlap int, len1 int, len2 int")
-    got = voting.call(voting.columns(voting.votes(edges, reads), voting.likelihoods(None, 1, spark), 9), 0, 0).first()
+    got = voting.call(voting.columns(voting.placed(edges, reads), voting.likelihoods(None, 1, spark), 9), 0, 0).first()
     assert (got.base, got.qual, got.n) == ("N", "~", 0)
 
 
@@ -266,3 +266,28 @@ def test_target_without_its_own_row_is_placed_by_its_read(spark):
     centers = {r.center for r in clustering.fit_centers(brothers, m).collect()}
     want = {10, 11, 12, 13, 14} if len(centers) > 1 else {r for _, r, _ in rows}
     assert {r.read_id for r in clustering.cluster_neighbors(brothers, m, own=own).collect()} == want
+
+
+def test_votes_of_a_deep_read_are_dealt_to_tasks(spark, monkeypatch):
+    """The same columns whether one task adds up a read's edges, several do, or batches cut them."""
+    rng = random.Random(6)
+    strand = "".join(rng.choice("ACGT") for _ in range(60))
+    reads = [(2 * i, "".join(rng.choice("ACGTN") if rng.random() < 0.1 else c for c in strand[: rng.choice([60, 40])]), True) for i in range(40)]
+    reads += [(i + 1, s[::-1].translate(str.maketrans("ACGT", "TGCA")), False) for i, s, _ in reads]
+    df = spark.createDataFrame([(*r, len(r[1])) for r in reads], "read_id long, seq string, is_orig boolean, len int")
+    size = {r[0]: len(r[1]) for r in reads}
+    edges = [(0, r, 0, 0, min(size[0], size[r]), size[0], size[r]) for r in size] + [(r, r, 0, 0, size[r], size[r], size[r]) for r in size if r]
+    edges += [(2, r, 5, 0, min(size[2] - 5, size[r]), size[2], size[r]) for r in size if r != 2]
+    placed = voting.placed(spark.createDataFrame(edges, "r1 long, r2 long, offs int, nerr int, overlap int, len1 int, len2 int"), df)
+    ll = voting.likelihoods(None, 60, spark)
+    key = lambda d: sorted((r.r1, r.col, r.n, r.orig or -1, *(round(v, 6) for v in r[4:])) for r in d.collect())
+    for h_rate in (0.0, 0.01):
+        whole = key(voting.columns(placed, ll, 9, h_rate))
+        with monkeypatch.context() as m:
+            m.setattr(voting, "DEEP", 7)
+            assert key(voting.columns(placed, ll, 9, h_rate)) == whole
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+        try:
+            assert key(voting.columns(placed, ll, 9, h_rate)) == whole
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
