@@ -33,10 +33,11 @@ def groups(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
         if tuple(now) == before or not now[0]:
             return state.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("m")).select(F.least("id", "m").alias("group_id"), "id")
         before = tuple(now)
-        least = state.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("m"))
+        least = state.groupBy("v").agg(F.min("u").alias("u1")).select("v", "u1", F.least("v", "u1").alias("m"))
         # a vertex with very many members is one row of ``least``: adaptive execution splits its other side
-        pair = lambda x: F.explode(F.array(F.struct(F.col("m").alias("v"), F.col(x).alias("u")), F.struct(F.col(x).alias("v"), F.col("m").alias("u")))).alias("e")
-        sent = state.join(least, "v").select(pair("u")).unionByName(least.select(pair("v")))
+        both = lambda x: [F.struct(F.col("m").alias("v"), F.col(x).alias("u")), F.struct(F.col(x).alias("v"), F.col("m").alias("u"))]
+        # the vertex belongs to its own set: it is sent beside its first member
+        sent = state.join(least, "v").select(F.explode(F.when(F.col("u") == F.col("u1"), F.array(*both("u"), *both("v"))).otherwise(F.array(*both("u")))).alias("e"))
         nxt = scratch.keep(sent.select("e.v", "e.u").where("v != u").distinct())
         scratch.drop(state)
         state = nxt
