@@ -101,6 +101,12 @@ def lgamma(x: pa.Array) -> pa.Array:
     return pa.array(log_gamma(x.fill_null(1.0).to_numpy(zero_copy_only=False)), mask=x.is_null().to_numpy(zero_copy_only=False))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """``x`` to so many digits, halves away from 0, in plain arithmetic on doubles (below 2^63 / 10^digits), which is
+    many times faster than the exact decimals of ``round``."""
+    return F.signum(x) * F.floor(F.abs(x) * 10.0**digits + 0.5) / 10.0**digits
+
+
 def array_sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 

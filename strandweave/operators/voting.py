@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.functions.dna import base_code, code_base, iupac
+from strandweave.functions.dna import base_code, code_base, iupac, rounded
 from strandweave.functions.once import computed
 
 #: Hypotheses: one base, or two bases in alphabetical order.
@@ -183,7 +183,7 @@ def columns(placed: DataFrame, ll: DataFrame, cov: float, h_rate: float = 0.0) -
     extra, out = prior_votes(cov, h_rate), []
     for h, (a, b) in enumerate(pairs):
         prior = math.log(0.25) + math.log(1 - h_rate) if a == b else -math.log(6) + math.log(h_rate)
-        out += [F.round(F.col(f"s{h}") + F.col(f"o{h}") * extra + prior, 9).alias(f"l{a}{b}"), F.round(F.col(f"s{h}") + prior, 9).alias(f"q{a}{b}")]
+        out += [rounded(F.col(f"s{h}") + F.col(f"o{h}") * extra + prior, 9).alias(f"l{a}{b}"), rounded(F.col(f"s{h}") + prior, 9).alias(f"q{a}{b}")]
     return sums.select("r1", "col", "n", "orig", *out)
 
 
@@ -213,7 +213,7 @@ def call(cols: DataFrame, max_votes: int, min_votes: int, h_rate: float = 0.0) -
     others = reduce(lambda x, y: x + y, [F.when(F.col("ref") == i, 0.0).otherwise(F.exp(F.col(f"q{a}{b}") - F.col("q_ref"))) for i, (a, b) in enumerate(pairs)])
     df = computed(df, others=others)
     error = F.col("others") / (F.col("others") + 1)
-    score = F.floor(F.round(-10 * F.log10(error) / F.greatest(F.lit(1), F.col("n")), 6))
+    score = F.floor(rounded(-10 * F.log10(error) / F.greatest(F.lit(1), F.col("n")), 6))
     qual = F.when(error >= 1e-100, F.least(F.lit(GREATEST), F.greatest(F.lit(0), score)) + LOWEST).otherwise(LOWEST + GREATEST)
     base = F.when(F.col("accepted"), F.col("mapped")).otherwise(F.coalesce(code_base(F.col("orig")), F.lit("N")))
     return df.withColumn("base", base).withColumn("qual", F.chr(F.coalesce(qual, F.lit(LOWEST + GREATEST))))
@@ -236,7 +236,7 @@ def expected_calls(called: DataFrame, h_rate: float = 0.0) -> DataFrame:
 
 def joined_columns(called: DataFrame, *names: str) -> DataFrame:
     """One row a read: each named column's values by column, as one string."""
-    rows = called.groupBy("r1").agg(F.array_sort(F.collect_list(F.struct("col", *names))).alias("c"))  # at most a read's length
+    rows = called.groupBy("r1").agg(F.sort_array(F.collect_list(F.struct("col", *names))).alias("c"))  # at most a read's length
     return rows.select(F.col("r1").alias("read_id"), *[F.array_join(F.col(f"c.{n}"), "").alias(n) for n in names])
 
 

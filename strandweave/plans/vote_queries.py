@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from strandweave.functions.dna import rounded
 from strandweave.operators import voting
 from strandweave.operators.overlaps import refilter
 from strandweave.plans import base
@@ -61,11 +62,11 @@ def column_coverage(spark, d):
 
 
 def hypothesis_loglik(spark, d):
-    return columns(spark, d).select("r1", "col", *[F.round(F.col(f"{x}{b}{b}") + OFF, 6).alias(f"{x}{b}{b}") for b in range(4) for x in "lq"])
+    return columns(spark, d).select("r1", "col", *[rounded(F.col(f"{x}{b}{b}") + OFF, 6).alias(f"{x}{b}{b}") for b in range(4) for x in "lq"])
 
 
 def genotype_loglik(spark, d):
-    return columns(spark, d, H_RATE).select("r1", "col", *[F.round(F.col(f"l{a}{b}") + OFF, 6).alias(f"l{a}{b}") for a, b in voting.HETEROZYGOUS])
+    return columns(spark, d, H_RATE).select("r1", "col", *[rounded(F.col(f"l{a}{b}") + OFF, 6).alias(f"l{a}{b}") for a, b in voting.HETEROZYGOUS])
 
 
 def genotype_call(spark, d):
