@@ -19,7 +19,7 @@ KEY = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session; sets one only if the session names none."""
     base = spark.sparkContext.getConf().get(KEY) or spark.conf.get(KEY, None)
-    if not base and not spark.sparkContext.master.startswith("local["):
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError(f"{KEY} is unset: name a folder that all executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
