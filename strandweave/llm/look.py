@@ -73,8 +73,9 @@ class Tables:
                 if not 0xAC00 <= c < 0xD7A4:
                     continue
             ch = chr(c)
-            cls = unicodedata.combining(ch)
-            ccc[c] = cls
+            if unicodedata.category(ch) == "Cn" and c not in UNSEEN:
+                continue
+            ccc[c] = unicodedata.combining(ch)
             s = _shown(c)
             if s != ch:
                 size[c], start[c] = len(s), len(pool)
