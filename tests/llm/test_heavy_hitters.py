@@ -30,3 +30,11 @@ def test_empty_table_and_only_nulls(spark):
 
 def test_one_value(spark):
     assert [tuple(r) for r in frequent(spark.createDataFrame([(-1,)] * 50, "hash long"), "hash", Fraction(1, 2), modulus=1 << 32).collect()] == [((1 << 32) - 1, 50)]
+
+
+def test_values_that_the_first_sketch_cannot_tell_apart(spark):
+    """Far more heavy values than buckets, all alike: later sketches find what the first one misses."""
+    rows = [(f"v{i}",) for i in range(120) for _ in range(20)] + [(f"w{i}",) for i in range(3000)]
+    df = spark.createDataFrame(rows, "value string").repartition(5)
+    got = {(r.value, r.n) for r in frequent(df, "value", Fraction(1, 400), depth=2, log_width=6).collect()}
+    assert got == {(f"v{i}", 20) for i in range(120)}
