@@ -3,11 +3,13 @@
 A task splits its texts into words, keeps the distinct new ones and merges all of these at once: the
 symbols of many words lie in one flat array, and each round looks up every adjacent pair by binary search
 over the sorted pair keys and merges, in each word, its pair of lowest rank.  Words met before are taken
-from the task's table of encoded words.
+from the task's table of encoded words.  A word of many bytes has many rounds; it keeps its pairs sorted by rank,
+so that a round touches only what it merges.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 from itertools import chain
@@ -22,6 +24,10 @@ from pyspark.sql import types as T
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct words that a task keeps encoded before it begins anew.
 WORDS = 1 << 20
+#: Words of more bytes are merged by themselves.
+LONG = 1 << 10
+#: Rank of a pair that is never merged.
+NONE = np.iinfo(np.int64).max
 
 
 def default_path() -> str:
@@ -56,19 +62,76 @@ class Merges:
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one after the other, and the number of ids of each."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if not long:
+            return self._encode(words)
+        ids, size = self._encode([w if len(w) <= LONG else b"" for w in words])
+        at = np.cumsum(size)
+        out, done = [], 0
+        for i in long:
+            one = self._encode_long(words[i])
+            out += [ids[done : at[i]], one]
+            done, size[i] = at[i], len(one)
+        return np.concatenate([*out, ids[done:]]), size
+
+    def _ranked(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each pair stands among the sorted keys, and its rank (NONE if it is no pair of the vocabulary)."""
+        key = (left << 32) | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return at, np.where(self.keys[at] == key, self.rank[at], NONE)
+
+    def _encode_long(self, word: bytes) -> np.ndarray:
+        """Ids of one word; its pairs lie in heaps of positions by rank, and merged symbols are unlinked."""
+        sym = self.byte[np.frombuffer(word, np.uint8)]
+        n = len(sym)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        made, rank = np.full(n, -1), np.full(n, NONE)  # of the pair that begins here
+        waiting: dict[int, list[np.ndarray]] = {}
+        order: list[int] = []
+
+        def put(i: np.ndarray) -> None:
+            """Ranks the pairs that begin at ``i`` anew."""
+            made[i], rank[i] = self._ranked(sym[i], sym[after[i]])
+            i = i[rank[i] < NONE]
+            i = i[np.argsort(rank[i], kind="stable")]
+            ranks, first = np.unique(rank[i], return_index=True)
+            for r, some in zip(ranks.tolist(), np.split(i, first[1:]), strict=True) if len(i) else ():
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(order, r)
+                waiting[r].append(some)
+
+        put(np.arange(n - 1))
+        while order:
+            r = heapq.heappop(order)
+            i = np.unique(np.concatenate(waiting.pop(r)))
+            i = i[rank[i] == r]
+            if not len(i):
+                continue
+            run = np.append(True, after[i[:-1]] != i[1:])  # of pairs that overlap (a a a), every other one
+            i = i[(np.arange(len(i)) - np.maximum.accumulate(np.where(run, np.arange(len(i)), 0))) % 2 == 0]
+            gone = after[i]
+            sym[i], rank[gone], after[i] = self.made[made[i]], NONE, after[gone]
+            sym[gone] = -1
+            inner = after[i] < n
+            before[after[i][inner]] = i[inner]
+            rank[i[~inner]] = NONE
+            put(np.unique(np.concatenate([i[inner], before[i][before[i] >= 0]])))
+        return sym[sym >= 0]
+
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         n = len(words)
         sizes = np.fromiter(map(len, words), np.int64, n)
         sym = self.byte[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(n), sizes)
-        done_sym, done_word, none = [], [], np.iinfo(np.int64).max
+        done_sym, done_word = [], []
         while len(sym):
-            key = (sym[:-1] << 32) | sym[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.append(np.where((self.keys[at] == key) & (word[:-1] == word[1:]), self.rank[at], none), none)
+            rank = self._ranked(sym[:-1], sym[1:])[1]
+            rank = np.append(np.where(word[:-1] == word[1:], rank, NONE), NONE)
             start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             size = np.diff(np.append(start, len(sym)))
             low = np.repeat(np.minimum.reduceat(rank, start), size)
-            ready = low == none
+            ready = low == NONE
             if ready.any():
                 done_sym.append(sym[ready])
                 done_word.append(word[ready])
@@ -77,7 +140,7 @@ class Merges:
             if len(i):  # of pairs that overlap (a a a), every other one
                 run = np.append(True, np.diff(i) != 1)
                 i = i[(np.arange(len(i)) - np.maximum.accumulate(np.where(run, np.arange(len(i)), 0))) % 2 == 0]
-                sym[i] = self.made[np.minimum(np.searchsorted(self.keys, (sym[i] << 32) | sym[i + 1]), len(self.keys) - 1)]
+                sym[i] = self.made[self._ranked(sym[i], sym[i + 1])[0]]
                 ready[i + 1] = True
             sym, word = sym[~ready], word[~ready]
         if not done_sym:

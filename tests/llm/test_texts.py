@@ -1,3 +1,4 @@
+import random
 import unicodedata
 
 import pyarrow as pa
@@ -43,6 +44,14 @@ def test_words_are_forgotten(monkeypatch, reference):
         assert enc.encode([t]).to_pylist() == [reference(t)]
 
 
+def test_long_words_equal_the_library(reference):
+    rng = random.Random(8)
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "ACGT", "aab", "日本語文字列"]
+    words = ["".join(rng.choice(k) for _ in range(n)) for k in kinds for n in (1023, 1025, 4000, 30_000)]
+    texts = [f"so {w} it is" for w in words] + [" ".join(words[:8])]
+    assert Encoder(Merges(default_path())).encode(texts).to_pylist() == [reference(t) for t in texts]
+
+
 def packed_ok(rows, sizes, capacity):
     by, fill = {}, {}
     for r in rows:
