@@ -92,7 +92,8 @@ def test_toy_clusters(spark):
     assert {r.read_id for r in clustering.cluster_neighbors(brothers, m).collect()} >= {2}
 
 
-def test_correct_mends_injected_errors(spark):
+@pytest.mark.parametrize("recluster", [False, True])
+def test_correct_mends_injected_errors(spark, recluster):
     rng = random.Random(11)
     strand = "".join(rng.choice("ACGT") for _ in range(300))
     truth, rows = {}, []
@@ -106,7 +107,7 @@ def test_correct_mends_injected_errors(spark):
         rows.append((i, seq))
     rows += [(900, "ACG"), (901, ""), (902, None)]
     truth[900] = "ACG"
-    got = {r.src_row: r for r in correct(spark.createDataFrame(rows, "src_row long, seq string"), Options(subset=1.0, h_min=25, h_max=29, em_iterations=2)).collect()}
+    got = {r.src_row: r for r in correct(spark.createDataFrame(rows, "src_row long, seq string"), Options(subset=1.0, h_min=25, h_max=29, em_iterations=2, recluster=recluster)).collect()}
     assert set(got) == set(truth)
     wrong = sum(s != truth[i] for i, s in rows if i in truth)
     left = sum(got[i].seq != truth[i] for i in truth)
