@@ -9,6 +9,7 @@ from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ HOMOZYGOUS = [(b, b) for b in range(4)]
 HETEROZYGOUS = list(combinations_with_replacement(range(4), 2))
 #: Edges of a read that one task adds up; those of a deeper one are dealt to several.
 DEEP = 1 << 14
+#: Columns of reads that a task adds up at once: some 12 MB of sums for ten hypotheses.
+COLUMNS = 1 << 16
 #: Quality letters: the lowest, and the greatest value above it.
 LOWEST, GREATEST = 33, 93
 
@@ -138,11 +141,16 @@ def _column_sums(table: np.ndarray):
         cols = [pa.array(reads[read]), pa.array(col.astype(np.int32)), pa.array(got[1].astype(np.int64)), pa.array((got[2] - 1).astype(np.int32), mask=got[2] == 0)]
         return pa.RecordBatch.from_arrays([*cols, *map(pa.array, got[3:])], names=["r1", "col", "n", "orig", *(f"s{h}" for h in range(many)), *(f"o{h}" for h in range(many))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last read so far, which the next batch may go on with
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches cut to :data:`COLUMNS`; a batch as it comes may have as many reads as rows."""
         for b in batches:
-            if not b.num_rows:
-                continue
+            width = pc.max(pc.add(b.column("st1"), pc.binary_length(b.column("bases")))).as_py() or 1
+            rows = max(1, COLUMNS // width)
+            yield from (b.slice(i, rows) for i in range(0, b.num_rows, rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last read so far, which the next slice may go on with
+        for b in slices(batches):
             reads, x = sums(b)
             if held is not None:
                 if held[0][0] == reads[0]:
@@ -234,9 +242,28 @@ def expected_calls(called: DataFrame, h_rate: float = 0.0) -> DataFrame:
     return rows.select("pos", "called_b", each).select("pos", "s.true_b", "called_b", "s.w")
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(r1, col, values..)`` whose columns follow each other, as one row with the first column and the joined values."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        r1, col = (b.column(c).to_numpy() for c in ("r1", "col"))
+        at = np.flatnonzero(np.append(True, (r1[1:] != r1[:-1]) | (col[1:] != col[:-1] + 1)))
+        texts = []
+        for x in b.columns[2:]:
+            # the letters of a run are one stretch of the buffer, where nulls have none
+            offsets = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1]
+            texts.append(pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(offsets[at], offsets[-1])), x.buffers()[2]))
+        yield pa.RecordBatch.from_arrays([pa.array(r1[at]), pa.array(col[at]), *texts], names=b.schema.names)
+
+
 def joined_columns(called: DataFrame, *names: str) -> DataFrame:
-    """One row a read: each named column's values by column, as one string."""
-    rows = called.groupBy("r1").agg(F.sort_array(F.collect_list(F.struct("col", *names))).alias("c"))  # at most a read's length
+    """One row a read: each named column's values by column, as one string.
+
+    Tasks have a read's columns in order, so what is shuffled is a few pieces of a read and not a row a column.
+    """
+    rows = called.select("r1", "col", *names)
+    rows = rows.mapInArrow(_pieces, rows.schema).groupBy("r1").agg(F.sort_array(F.collect_list(F.struct("col", *names))).alias("c"))  # at most a read's length
     return rows.select(F.col("r1").alias("read_id"), *[F.array_join(F.col(f"c.{n}"), "").alias(n) for n in names])
 
 

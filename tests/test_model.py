@@ -292,3 +292,40 @@ def test_votes_of_a_deep_read_are_dealt_to_tasks(spark, monkeypatch):
             assert key(voting.columns(placed, ll, 9, h_rate)) == whole
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_votes_of_many_reads_are_added_up_in_slices(spark, monkeypatch):
+    """A batch with as many reads as rows made one array of all their columns, hundreds of MB for ten hypotheses."""
+    rng = random.Random(12)
+    widths = []
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def zeros(self, shape, *args):
+            widths.append(shape)
+            return np.zeros(shape, *args)
+
+    reads = [(2 * i, "".join(rng.choice("ACGTN") for _ in range(40)), True, 40) for i in range(60)]
+    df = spark.createDataFrame(reads, "read_id long, seq string, is_orig boolean, len int")
+    edges = [(2 * i, 2 * j, 0, 0, 40, 40, 40) for i in range(60) for j in {i, rng.randrange(60)}]
+    placed = voting.placed(spark.createDataFrame(edges, "r1 long, r2 long, offs int, nerr int, overlap int, len1 int, len2 int"), df)
+    table = voting.vote_table(voting.likelihoods(None, 40, spark), voting.hypotheses(0.01))
+    batches = placed.orderBy("r1").toArrow().to_batches()
+    whole = sorted(map(repr, (r for b in voting._column_sums(table)(iter(batches)) for r in b.to_pylist())))
+    monkeypatch.setattr(voting, "COLUMNS", 200)
+    monkeypatch.setattr(voting, "np", Counted())
+    assert sorted(map(repr, (r for b in voting._column_sums(table)(iter(batches)) for r in b.to_pylist()))) == whole
+    assert max(s[1] for s in widths if isinstance(s, tuple)) <= 200
+
+
+def test_columns_are_joined_from_pieces(spark):
+    """A row a column was shuffled; now a row a run of columns, whatever their order."""
+    rng = random.Random(13)
+    rows = [(r, c, rng.choice(["A", "C", None]), rng.choice("!~")) for r in range(9) for c in range(50) if (r + c) % 17]
+    want = {r: tuple("".join(x[i] or "" for x in rows if x[0] == r) for i in (2, 3)) for r in range(9)}
+    for order in (rows, rng.sample(rows, len(rows))):
+        df = spark.createDataFrame(order, "r1 long, col int, base string, qual string")
+        assert {x.read_id: (x.base, x.qual) for x in voting.joined_columns(df, "base", "qual").collect()} == want
+    assert df.coalesce(1).orderBy("r1", "col").mapInArrow(voting._pieces, df.schema).count() < 50
