@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from strandweave.operators import kmers, overlaps
+from strandweave.operators import kmers, overlaps, pairs
 
 
 def reads_df(spark, seqs):
@@ -96,3 +96,23 @@ def test_degree_cap_and_merge(spark):
     other = spark.createDataFrame([(1, 5, 9, 1, 100), (1, 6, 9, 6, 100)], edges.schema)
     merged = {r.r2: r.offs for r in overlaps.merge_neighbors(edges, other).collect()}
     assert merged[5] == 9 and merged[6] == 0
+
+
+def test_join_by_all_kmers_shuffles_what_passes(spark, monkeypatch):
+    """Every candidate was shuffled with its k-mer; now a pair without another common k-mer isn't shuffled at all."""
+    rng = random.Random(8)
+    strand = "".join(rng.choice("ACGT") for _ in range(60))
+    seqs = [strand[s : s + 25] for s in (rng.randrange(36) for _ in range(40))] + ["GAAAT" * 6, "AAATG" * 6, "ACGNN" * 6, strand[:9], ""]
+    reads = reads_df(spark, seqs)
+    index = kmers.dedupe(kmers.explode_kmers(reads, 8))
+    few = index.where("pos % 9 = 0")  # k-mers by which many pairs meet once
+    lone = overlaps.near_pairs(few, reads, 12, 0.2)[0]
+    assert lone.count() > 20 and lone.count() == lone.select("r1", "r2").distinct().count()
+    for block, size in ((1 << 13, 1 << 17), (3, 5)):
+        monkeypatch.setattr(pairs, "BLOCK", block)
+        monkeypatch.setattr(pairs, "PAIRS", size)
+        assert {tuple(r) for r in overlaps.neighbor_join(index, reads, 15, 0.2, 0).collect()} == brute(seqs, 8, 15, 0.2)
+        got = overlaps.neighbor_join(few, reads, 12, 0.2, 0).collect()
+        assert len(got) == len(set(map(tuple, got)))
+        old = overlaps.neighbor_join(few, reads, 12, 0.2, 1 << 20).collect()  # a limit that drops nothing
+        assert set(map(tuple, got)) == set(map(tuple, old))
