@@ -329,3 +329,23 @@ def test_columns_are_joined_from_pieces(spark):
         df = spark.createDataFrame(order, "r1 long, col int, base string, qual string")
         assert {x.read_id: (x.base, x.qual) for x in voting.joined_columns(df, "base", "qual").collect()} == want
     assert df.coalesce(1).orderBy("r1", "col").mapInArrow(voting._pieces, df.schema).count() < 50
+
+
+def test_all_limits_share_rounds_and_rows(spark, monkeypatch):
+    """Each limit had rows of its own: 39 times the edges were shuffled and written in every round."""
+    rng = random.Random(14)
+    reads = spark.createDataFrame([(i, "".join(rng.choice("ACGTN") for _ in range(30)), i % 2 == 0, 30) for i in range(80)], "read_id long, seq string, is_orig boolean, len int")
+    edges = [(i, i, 0, 0, 30) for i in range(80) if i != 6]
+    for a, b in {tuple(sorted(rng.sample(range(80), 2))) for _ in range(260)}:
+        o, n, v = rng.randint(-9, 9), rng.randint(0, 5), rng.randint(10, 30)
+        edges += [(a, b, o, n, v), (b, a, -o, n, v)]
+    df = spark.createDataFrame(edges, "r1 long, r2 long, offs int, nerr int, overlap int")
+    hs, es = [12, 18, 25], [0.05, 0.1, 0.2]
+    want = {(h, e, *r) for h in hs for e in es for r in model.coverage_histogram(df.where(f"overlap >= {h} and nerr <= overlap * {e}D"), reads).collect()}
+    rows = []
+    keep = model.Scratch.keep
+    monkeypatch.setattr(model.Scratch, "keep", lambda self, x: (y := keep(self, x), rows.append(y.count()))[0])
+    for bits in (60, 4):
+        monkeypatch.setattr(model, "BITS", bits)
+        assert {tuple(r) for r in model.grid_histograms(df, reads, hs, es).collect()} == want
+    assert max(rows) <= len(edges)
