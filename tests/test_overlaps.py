@@ -116,3 +116,35 @@ def test_join_by_all_kmers_shuffles_what_passes(spark, monkeypatch):
         assert len(got) == len(set(map(tuple, got)))
         old = overlaps.neighbor_join(few, reads, 12, 0.2, 1 << 20).collect()  # a limit that drops nothing
         assert set(map(tuple, got)) == set(map(tuple, old))
+
+
+def test_join_by_all_kmers_shuffles_no_pair(spark, monkeypatch):
+    """A pair with several common k-mers was shuffled for each of them; now one cell yields it, and the shuffles are by occurrence."""
+    rng = random.Random(9)
+    unit = ["".join(rng.choice("ACGT") for _ in range(9)) for _ in range(4)]
+    pieces = [w for u in unit for w in (u, u[:4] + rng.choice("ACGTN") + u[5:])]
+    seqs = ["".join(rng.choice(pieces) for _ in range(rng.choice([3, 4, 5]))) for _ in range(70)] + ["ACACACACACACACACAC", "CACACACACACACACACACA", "NNNNNNNNNNNNNNNN"]
+    reads = reads_df(spark, seqs)
+    index = kmers.dedupe(kmers.explode_kmers(reads, 7))
+    whole, odd = overlaps.near_pairs(index, reads, 12, 0.3)
+    want = brute(seqs, 7, 12, 0.3)
+    assert odd is None and {tuple(r)[:4] for r in whole.collect()} == {x for x in want if x[0] < x[1]}
+    assert whole.count() == sum(x[0] < x[1] for x in want) > 500
+    assert {(r.r1, r.r2): (r.len1, r.len2) for r in whole.collect()} == {x[:2]: (len(seqs[x[0]]), len(seqs[x[1]])) for x in want if x[0] < x[1]}
+    monkeypatch.setattr(pairs, "BLOCK", 5)
+    got = overlaps.neighbor_join(index, reads, 12, 0.3, 0)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_join_by_kmers_that_reads_do_not_spell(spark):
+    """The join goes by the k-mers of the index, whatever the reads say."""
+    rng = random.Random(10)
+    strand = "".join(rng.choice("ACGT") for _ in range(60))
+    seqs = [strand[s : s + 25] for s in (rng.randrange(36) for _ in range(20))] + [strand[5:15] + "R" + strand[16:30]]
+    reads = reads_df(spark, seqs)
+    index = kmers.dedupe(kmers.explode_kmers(reads, 8)).where("pos % 2 = 0 or read_id <> 3")
+    index = index.unionByName(spark.createDataFrame([("ACGTACGT", 3, 2), ("ACGTACGT", 4, 9), ("GG", 5, 1), ("GG", 6, 30)], "kmer string, read_id long, pos int"))
+    got = overlaps.neighbor_join(index, reads, 12, 0.9, 0).collect()
+    old = overlaps.neighbor_join(index, reads, 12, 0.9, 1 << 20).collect()  # a limit that drops nothing
+    assert sorted(map(tuple, got)) == sorted(map(tuple, old))
+    assert overlaps.near_pairs(index, reads, 12, 0.9)[1].count() >= 3
