@@ -148,3 +148,14 @@ def test_join_by_kmers_that_reads_do_not_spell(spark):
     old = overlaps.neighbor_join(index, reads, 12, 0.9, 1 << 20).collect()  # a limit that drops nothing
     assert sorted(map(tuple, got)) == sorted(map(tuple, old))
     assert overlaps.near_pairs(index, reads, 12, 0.9)[1].count() >= 3
+
+
+def test_stored_pairs_in_both_directions(spark):
+    """A pair is one row where it is stored; with the reads' own rows it is what the join and the reads' lengths make."""
+    rng = random.Random(12)
+    strand = "".join(rng.choice("ACGT") for _ in range(60))
+    reads = reads_df(spark, [strand[s : s + rng.choice([20, 25])] for s in (rng.randrange(36) for _ in range(20))] + ["ACG"])
+    index = kmers.dedupe(kmers.explode_kmers(reads, 8))
+    got = overlaps.both_ways(overlaps.all_pairs(index, reads, 12, 0.2), reads, 12)
+    want = overlaps.geometry(overlaps.neighbor_join(index, reads, 12, 0.2, 0), reads).select(got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.schema == want.schema
